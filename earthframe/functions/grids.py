@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from earthframe.functions.rules import first_failure
+from earthframe.functions.rules import first_failure, let
 
 # Fixed value: largest difference, in pixels of the grid, that counts as float noise.
 TOLERANCE_PIXELS = 1e-6
@@ -86,26 +86,27 @@ def nesting(coarse: Column, fine: Column) -> Column:
 
     Struct ``{code, ratio_x, ratio_y, offset_x, offset_y}``; offsets in fine pixels.
     """
-    ratio_x = _whole(F.try_divide(res_x(coarse), res_x(fine)))
-    ratio_y = _whole(F.try_divide(res_y(coarse), res_y(fine)))
-    offset_x = _whole(F.try_divide(coarse["c"] - fine["c"], res_x(fine)))
-    offset_y = _whole(F.try_divide(fine["f"] - coarse["f"], res_y(fine)))
-    code = first_failure([
-        *_crs_rules(coarse, fine),
-        (ratio_x.isNull() | ratio_y.isNull() | (ratio_x < 1) | (ratio_y < 1),
-         "grid_ratio_invalid"),
-        (offset_x.isNull() | offset_y.isNull(), "grid_misaligned"),
-        (~_overlap(coarse, fine), "grid_no_overlap"),
-    ])
-
-    def kept(value: Column) -> Column:
-        return F.when(code.isNull(), value)
-
-    return F.struct(
-        code.alias("code"), kept(ratio_x).alias("ratio_x"), kept(ratio_y).alias("ratio_y"),
-        kept(offset_x).alias("offset_x"), kept(offset_y).alias("offset_y"),
+    measured = F.struct(
+        _whole(F.try_divide(res_x(coarse), res_x(fine))).alias("ratio_x"),
+        _whole(F.try_divide(res_y(coarse), res_y(fine))).alias("ratio_y"),
+        _whole(F.try_divide(coarse["c"] - fine["c"], res_x(fine))).alias("offset_x"),
+        _whole(F.try_divide(fine["f"] - coarse["f"], res_y(fine))).alias("offset_y"),
     )
 
+    def judged(n: Column) -> Column:
+        code = first_failure([
+            *_crs_rules(coarse, fine),
+            (n["ratio_x"].isNull() | n["ratio_y"].isNull() | (n["ratio_x"] < 1)
+             | (n["ratio_y"] < 1), "grid_ratio_invalid"),
+            (n["offset_x"].isNull() | n["offset_y"].isNull(), "grid_misaligned"),
+            (~_overlap(coarse, fine), "grid_no_overlap"),
+        ])
+        return let(code, lambda c: F.struct(
+            c.alias("code"), *[F.when(c.isNull(), n[k]).alias(k)
+                               for k in ("ratio_x", "ratio_y", "offset_x", "offset_y")]))
+
+    return let(measured, judged)
+
 
 def general(value: Column) -> Column:
     """A number at up to six significant digits without trailing zeros (C ``%g``)."""

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def first_failure(rules: Iterable[tuple[Column, str | Column]]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once: a bound name instead of a repeated expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_failure(rules: Iterable[tuple[Column, str] | Column]) -> Column:
     """Code of the first rule whose condition is true, else NULL.
 
-    A condition that is NULL has not failed: unknown is never a violation.
+    A rule is (condition, code) or a column that already is a code or NULL. A condition
+    that is NULL has not failed: unknown is never a violation.
     """
     picks = [
-        F.when(condition, code if isinstance(code, Column) else F.lit(code))
-        for condition, code in rules
+        rule if isinstance(rule, Column) else F.when(rule[0], F.lit(rule[1])) for rule in rules
     ]
     return F.coalesce(*picks) if len(picks) > 1 else picks[0]
 

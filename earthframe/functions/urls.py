@@ -9,7 +9,7 @@ from ipaddress import ip_network
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from earthframe.functions.rules import first_failure
+from earthframe.functions.rules import first_failure, let
 
 # IPv4 blocks that are not public unicast (special-purpose registry, multicast).
 NON_PUBLIC_IPV4 = (
@@ -44,10 +44,9 @@ def _ipv4_number(host: Column) -> Column:
 
 def non_public_address(host: Column) -> Column:
     """Whether the host is an IP literal outside the public unicast space."""
-    number = _ipv4_number(host)
     blocks = [ip_network(b) for b in NON_PUBLIC_IPV4]
-    in_block = reduce(lambda a, b: a | b, [
-        number.between(int(b.network_address), int(b.broadcast_address)) for b in blocks])
+    in_block = let(_ipv4_number(host), lambda number: reduce(lambda a, b: a | b, [
+        number.between(int(b.network_address), int(b.broadcast_address)) for b in blocks]))
     is_v6 = host.contains(":")
     head = F.conv(F.regexp_extract(host, r"^([0-9a-f]{1,4}):", 1), 16, 10).try_cast("int")
     second = F.coalesce(
@@ -64,19 +63,21 @@ def non_public_address(host: Column) -> Column:
 
 def href_problem(url: Column, trusted: Sequence[str] = ()) -> Column:
     """Code of the first rule an href breaks, or NULL when it may be read."""
-    host = host_of(url)
     scheme = F.lower(F.when(url.contains("://"), F.substring_index(url, "://", 1)))
-    rules = [
-        (url.rlike(r"[\x00\r\n\t]"), "control_character"),
-        (~F.coalesce(scheme, F.lit("")).isin("http", "https"), "unreadable_scheme"),
-        (host == "", "no_host"),
-        (non_public_address(host), "non_public_address"),
-    ]
     entries = [e.strip().lower().lstrip("*") for e in trusted]
     entries = [e for e in entries if e]
-    if entries:
-        permitted = reduce(lambda a, b: a | b, [
-            (host == e.lstrip(".")) | host.endswith(e if e.startswith(".") else f".{e}")
-            for e in entries])
-        rules.append((~permitted, "host_not_trusted"))
-    return first_failure(rules)
+
+    def host_rules(host: Column) -> Column:
+        rules = [(host == "", "no_host"), (non_public_address(host), "non_public_address")]
+        if entries:
+            permitted = reduce(lambda a, b: a | b, [
+                (host == e.lstrip(".")) | host.endswith(e if e.startswith(".") else f".{e}")
+                for e in entries])
+            rules.append((~permitted, "host_not_trusted"))
+        return first_failure(rules)
+
+    return first_failure([
+        (url.rlike(r"[\x00\r\n\t]"), "control_character"),
+        (~F.coalesce(scheme, F.lit("")).isin("http", "https"), "unreadable_scheme"),
+        let(host_of(url), host_rules),
+    ])

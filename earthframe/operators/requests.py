@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthframe.functions import boxes as X
-from earthframe.functions.rules import first_failure, lookup
+from earthframe.functions.rules import first_failure, let, lookup
 from earthframe.functions.urls import valid_identifier
 from earthframe.sources.catalog_items import kind, number_at, path
 
@@ -39,6 +39,8 @@ PARAMETER_KEYS = ("resolution", "resampling", "polarizations", "max_cloud_cover"
 EARLIEST_OBSERVATION = date(2014, 10, 3)
 FUTURE_GRACE_DAYS = 1
 
+BOX_TYPE = "struct<west:double,south:double,east:double,north:double>"
+
 
 def _present(item: Column, *parts: str | int) -> Column:
     return ~F.coalesce(kind(item, *parts), F.lit("VOID")).eqNullSafe("VOID")
@@ -61,16 +63,22 @@ def _unknown_keys(item: Column, allowed: tuple[str, ...], *parts: str | int) ->
 
 def box_problem(item: Column, *parts: str) -> Column:
     """Code for a ``[west, south, east, north]`` value, NULL when it is a usable box."""
-    w, s, e, n = (number_at(item, *parts, i) for i in range(4))
     size = F.size(F.try_variant_get(item, path(*parts), "array<variant>"))
-    in_range = (
-        w.between(-180, 180) & e.between(-180, 180) & s.between(-90, 90) & n.between(-90, 90))
+
+    def judged(v: Column) -> Column:
+        w, s, e, n = v["west"], v["south"], v["east"], v["north"]
+        in_range = (
+            w.between(-180, 180) & e.between(-180, 180)
+            & s.between(-90, 90) & n.between(-90, 90))
+        return first_failure([
+            (w.isNull() | s.isNull() | e.isNull() | n.isNull() | ~in_range, "aoi_invalid"),
+            ((w == e) | (s == n), "aoi_empty"),
+            ((w > e) | (s > n), "aoi_invalid"),
+        ])
+
     return first_failure([
         (~_is(item, "ARRAY", *parts) | ~F.coalesce(size == 4, F.lit(False)), "aoi_invalid"),
-        (w.isNull() | s.isNull() | e.isNull() | n.isNull(), "aoi_invalid"),
-        (~in_range, "aoi_invalid"),
-        ((w == e) | (s == n), "aoi_empty"),
-        ((w > e) | (s > n), "aoi_invalid"),
+        let(X.bbox(*[number_at(item, *parts, i) for i in range(4)]), judged),
     ])
 
 
@@ -79,41 +87,55 @@ def rectangle(ring: Column) -> Column:
 
     Accepted only when it is exactly an axis-aligned rectangle; never enveloped or repaired.
     """
-    n = F.size(ring)
-    vertices = F.slice(ring, 1, F.greatest(n - 1, F.lit(0)))
-    xs = F.array_sort(F.array_distinct(F.transform(vertices, lambda p: F.get(p, 0))))
-    ys = F.array_sort(F.array_distinct(F.transform(vertices, lambda p: F.get(p, 1))))
-    good_position = F.forall(ring, lambda p: (
-        (F.size(p) == 2) & F.get(p, 0).between(-180, 180) & F.get(p, 1).between(-90, 90)))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(vertices) - 1), lambda i: F.struct(
-        F.get(vertices, i).alias("p"), F.get(vertices, F.pmod(i + 1, F.size(vertices))).alias("q")))
-    corner_set = (
-        (F.size(vertices) == 4) & (F.size(xs) == 2) & (F.size(ys) == 2)
-        & (F.size(F.array_distinct(vertices)) == 4))
-    axis_aligned = F.forall(pairs, lambda e: (
-        (F.get(e["p"], 0) == F.get(e["q"], 0)) != (F.get(e["p"], 1) == F.get(e["q"], 1))))
-    area = F.aggregate(pairs, F.lit(0.0), lambda acc, e: acc + (
-        F.get(e["p"], 0) * F.get(e["q"], 1) - F.get(e["q"], 0) * F.get(e["p"], 1)))
-    code = first_failure([
-        (n == 0, "aoi_empty"),
-        (~F.coalesce(good_position, F.lit(False)), "aoi_invalid"),
-        (n < 4, "aoi_invalid"),
-        (F.get(ring, F.lit(0)) != F.get(ring, n - 1), "aoi_invalid"),
-        (corner_set & ~axis_aligned, "aoi_invalid"),
-        (~corner_set & (area == 0.0), "aoi_empty"),
-        (~corner_set, "aoi_geometry_unsupported"),
-    ])
-    box = X.bbox(F.get(xs, 0), F.get(ys, 0), F.get(xs, 1), F.get(ys, 1))
-    return F.struct(code.alias("code"), F.when(code.isNull(), box).alias("box"))
+    def x_of(p: Column) -> Column:
+        return F.get(p, F.lit(0))
+
+    def y_of(p: Column) -> Column:
+        return F.get(p, F.lit(1))
+
+    def measured(r: Column) -> Column:
+        vertices = F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))
+        return let(vertices, lambda v: F.struct(
+            v.alias("v"), F.size(r).alias("n"),
+            (F.get(r, F.lit(0)) == F.element_at(r, -1)).alias("closed"),
+            F.forall(r, lambda p: (F.size(p) == 2) & x_of(p).between(-180, 180)
+                     & y_of(p).between(-90, 90)).alias("positions_ok"),
+            F.array_sort(F.array_distinct(F.transform(v, x_of))).alias("xs"),
+            F.array_sort(F.array_distinct(F.transform(v, y_of))).alias("ys"),
+            F.transform(v, lambda p, i: F.struct(
+                p.alias("p"), F.get(v, F.pmod(i + 1, F.size(v))).alias("q"))).alias("edges"),
+        ))
+
+    def judged(m: Column) -> Column:
+        corner_set = (
+            (F.size(m["v"]) == 4) & (F.size(m["xs"]) == 2) & (F.size(m["ys"]) == 2)
+            & (F.size(F.array_distinct(m["v"])) == 4))
+        axis_aligned = F.forall(m["edges"], lambda e: (
+            (x_of(e["p"]) == x_of(e["q"])) != (y_of(e["p"]) == y_of(e["q"]))))
+        area = F.aggregate(m["edges"], F.lit(0.0), lambda acc, e: acc + (
+            x_of(e["p"]) * y_of(e["q"]) - x_of(e["q"]) * y_of(e["p"])))
+        code = first_failure([
+            (~F.coalesce(m["positions_ok"], F.lit(False)) | (m["n"] < 4) | ~m["closed"],
+             "aoi_invalid"),
+            (corner_set & ~axis_aligned, "aoi_invalid"),
+            (~corner_set & (area == 0.0), "aoi_empty"),
+            (~corner_set, "aoi_geometry_unsupported"),
+        ])
+        box = X.bbox(F.get(m["xs"], F.lit(0)), F.get(m["ys"], F.lit(0)),
+                     F.get(m["xs"], F.lit(1)), F.get(m["ys"], F.lit(1)))
+        return let(code, lambda c: F.struct(
+            c.alias("code"), F.when(c.isNull(), box).alias("box")))
+
+    empty = F.struct(F.lit("aoi_empty").alias("code"), F.lit(None).cast(BOX_TYPE).alias("box"))
+    return F.when(F.size(ring) == 0, empty).otherwise(let(let(ring, measured), judged))
 
 
 def aoi_from_polygon(item: Column, *parts: str) -> Column:
     """Struct ``{code, box}`` of a GeoJSON polygon value inside ``item``."""
     coords = (*parts, "coordinates")
     rings = F.size(F.try_variant_get(item, path(*coords), "array<variant>"))
-    ring = rectangle(F.try_variant_get(item, path(*coords, 0), "array<array<double>>"))
     typed = kind(item, *coords, 0)
-    code = first_failure([
+    shape = first_failure([
         (~_is(item, "ARRAY", *coords), "aoi_invalid"),
         (rings == 0, "aoi_empty"),
         (rings > 1, "aoi_geometry_unsupported"),
@@ -122,35 +144,39 @@ def aoi_from_polygon(item: Column, *parts: str) -> Column:
         ((typed != "ARRAY<VOID>")
          & ~typed.rlike(r"^ARRAY<ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))>>$"),
          "aoi_invalid"),
-        (ring["code"].isNotNull(), ring["code"]),
     ])
-    return F.struct(code.alias("code"), F.when(code.isNull(), ring["box"]).alias("box"))
+    ring = rectangle(F.try_variant_get(item, path(*coords, 0), "array<array<double>>"))
+    return let(shape, lambda c: F.when(c.isNotNull(), F.struct(
+        c.alias("code"), F.lit(None).cast(BOX_TYPE).alias("box"))).otherwise(ring))
 
 
 def _aoi(item: Column) -> Column:
     """Struct ``{code, box}`` of the whole ``aoi`` value."""
     kind_of = _text(item, "aoi", "geometry", "type")
-    polygon = aoi_from_polygon(item, "aoi", "geometry")
     crs = _text(item, "aoi", "crs")
     has_box, has_geometry = _present(item, "aoi", "bbox"), _present(item, "aoi", "geometry")
-    bad_box = box_problem(item, "aoi", "bbox")
-    code = first_failure([
-        (~_present(item, "aoi"), "aoi_missing"),
-        (~_is(item, "OBJECT", "aoi"), "aoi_invalid"),
-        (_unknown_keys(item, AOI_KEYS, "aoi"), "field_unknown"),
-        (_present(item, "aoi", "crs")
-         & ~F.coalesce(F.trim(crs).isin(*WGS84_NAMES), F.lit(False)), "aoi_crs_unsupported"),
-        (~has_box & ~has_geometry, "aoi_missing"),
-        (has_box & has_geometry, "aoi_invalid"),
-        (has_box & bad_box.isNotNull(), bad_box),
-        (has_geometry & kind_of.isNull(), "aoi_invalid"),
-        (has_geometry & ~kind_of.isin(*GEOJSON_TYPES), "aoi_invalid"),
-        (has_geometry & (kind_of != "Polygon"), "aoi_geometry_unsupported"),
-        (has_geometry & polygon["code"].isNotNull(), polygon["code"]),
-    ])
+    polygon = F.when(has_geometry & (kind_of == "Polygon"),
+                     aoi_from_polygon(item, "aoi", "geometry"))
     own = X.bbox(*[number_at(item, "aoi", "bbox", i) for i in range(4)])
-    return F.struct(code.alias("code"), F.when(
-        code.isNull(), F.when(has_box, own).otherwise(polygon["box"])).alias("box"))
+
+    def judged(p: Column) -> Column:
+        code = first_failure([
+            (~_present(item, "aoi"), "aoi_missing"),
+            (~_is(item, "OBJECT", "aoi"), "aoi_invalid"),
+            (_unknown_keys(item, AOI_KEYS, "aoi"), "field_unknown"),
+            (_present(item, "aoi", "crs")
+             & ~F.coalesce(F.trim(crs).isin(*WGS84_NAMES), F.lit(False)), "aoi_crs_unsupported"),
+            (~has_box & ~has_geometry, "aoi_missing"),
+            (has_box & has_geometry, "aoi_invalid"),
+            F.when(has_box, box_problem(item, "aoi", "bbox")),
+            (has_geometry & (kind_of.isNull() | ~kind_of.isin(*GEOJSON_TYPES)), "aoi_invalid"),
+            (has_geometry & (kind_of != "Polygon"), "aoi_geometry_unsupported"),
+            p["code"],
+        ])
+        return let(code, lambda c: F.struct(c.alias("code"), F.when(
+            c.isNull(), F.when(has_box, own).otherwise(p["box"])).alias("box")))
+
+    return let(polygon, judged)
 
 
 def date_value(text: Column) -> Column:
@@ -161,14 +187,14 @@ def date_value(text: Column) -> Column:
 
 def date_problem(start: Column, end: Column, today: date) -> Column:
     """Code for a closed date interval given as text, NULL when observations can exist."""
-    first, last = date_value(start), date_value(end)
-    return first_failure([
-        (start.isNull(), "date_missing"), (first.isNull(), "date_invalid"),
-        (end.isNull(), "date_missing"), (last.isNull(), "date_invalid"),
-        (last < first, "date_order_invalid"),
-        ((last < F.lit(EARLIEST_OBSERVATION))
-         | (F.datediff(first, F.lit(today)) > FUTURE_GRACE_DAYS), "date_out_of_range"),
-    ])
+    return let(F.struct(date_value(start).alias("first"), date_value(end).alias("last")),
+               lambda d: first_failure([
+        (start.isNull(), "date_missing"), (d["first"].isNull(), "date_invalid"),
+        (end.isNull(), "date_missing"), (d["last"].isNull(), "date_invalid"),
+        (d["last"] < d["first"], "date_order_invalid"),
+        ((d["last"] < F.lit(EARLIEST_OBSERVATION))
+         | (F.datediff(d["first"], F.lit(today)) > FUTURE_GRACE_DAYS), "date_out_of_range"),
+    ]))
 
 
 def _observation_problem(item: Column, field: str, today: date) -> Column:
@@ -182,7 +208,7 @@ def _observation_problem(item: Column, field: str, today: date) -> Column:
         (_unknown_keys(item, OBSERVATION_KEYS, field), "field_unknown"),
         (wrong_start, "date_invalid"),
         (wrong_end & date_value(start).isNotNull(), "date_invalid"),
-        (date_problem(start, end, today).isNotNull(), date_problem(start, end, today)),
+        date_problem(start, end, today),
         (_present(item, field, "scene_id") & ~valid_identifier(scene), "scene_invalid"),
     ])
 
@@ -263,16 +289,16 @@ def validate_requests(requests: DataFrame, today: date, payload: str = "payload"
         (has_dataset & known.isNull(), "dataset_unknown"),
         (has_dataset & (known != family), "dataset_incompatible"),
         (has_dataset & (dataset != lookup(MEASURED_FROM, family)), "dataset_incompatible"),
-        (F.col("_aoi.code").isNotNull(), F.col("_aoi.code")),
+        F.col("_aoi.code"),
         (X.aoi_too_large(F.col("_extent"), spacing, max_dim, max_px), "aoi_too_large"),
         (temporal & _present(item, "time_window"), "temporal_structure_invalid"),
-        (temporal & F.col("_date1").isNotNull(), F.col("_date1")),
-        (temporal & F.col("_date2").isNotNull(), F.col("_date2")),
-        (temporal & F.col("_order").isNotNull(), F.col("_order")),
+        F.when(temporal, F.col("_date1")),
+        F.when(temporal, F.col("_date2")),
+        F.when(temporal, F.col("_order")),
         (~temporal & (_present(item, "date1") | _present(item, "date2")),
          "temporal_structure_invalid"),
-        (~temporal & F.col("_single").isNotNull(), F.col("_single")),
-        (F.col("_parameters").isNotNull(), F.col("_parameters")),
+        F.when(~temporal, F.col("_single")),
+        F.col("_parameters"),
     ])
     return parsed.withColumn("code", code).drop(
         "_item", "_op", "_family", "_aoi", "_extent", "_single", "_date1", "_date2", "_order",

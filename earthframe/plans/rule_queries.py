@@ -106,7 +106,7 @@ def items(spark, sf):
         '"raster:bands":[{"data_type":"uint8","nodata":0}],',
         pick(lit('"proj:transform":[20,0,399960,0,-20,1500000],"proj:shape":[5490,5490]'),
              (27, lit('"proj:transform":[20,0,399965,0,-20,1500000],"proj:shape":[5490,5490]')),
-             (28, lit('"proj:transform":[30,0,399960,0,-20,1500000],"proj:shape":[5490,5490]'))), "}")
+             (28, lit('"proj:transform":[25,0,399960,0,-20,1500000],"proj:shape":[5490,5490]'))), "}")
     keys = F.when(sar, lit("vv")).otherwise(lit("green")), F.when(sar, lit("vh")).otherwise(lit("nir"))
     assets = F.concat(
         F.when(m == 9, lit("")).otherwise(cat('"', keys[0], '":', first, ",")),
@@ -219,7 +219,7 @@ def asset_encoding(spark, sf):
 
 @query("p24_projection_pick", """
 SELECT scene_id, 32644 AS epsg, CASE m WHEN 27 THEN 399965.0e0 ELSE 399960.0e0 END AS scl_x,
- CASE m WHEN 28 THEN 30.0e0 ELSE 20.0e0 END AS scl_res, 10.0e0 AS second_res, 10980 AS second_height FROM items
+ CASE m WHEN 28 THEN 25.0e0 ELSE 20.0e0 END AS scl_res, 10.0e0 AS second_res, 10980 AS second_height FROM items
 """)
 def projection_pick(spark, sf):
     p = _parsed(spark, sf)

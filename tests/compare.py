@@ -58,11 +58,14 @@ def difference(spark, con, build, sql, sf_dir) -> str | None:
     theirs = _sorted(tuple(_plain(r[i]) for i in order) for r in cur.fetchall())
     if mine_cols != sorted(cols):
         return f"columns {mine_cols} vs {sorted(cols)}"
-    if len(mine) != len(theirs):
-        return f"{len(mine)} rows vs {len(theirs)}; e.g. {mine[:2]} vs {theirs[:2]}"
-    bad = [(a, b) for a, b in zip(mine, theirs, strict=True) if a != b]
-    if bad:
-        return f"{len(bad)} of {len(mine)} rows differ; {mine_cols}: {bad[0][0]} vs {bad[0][1]}"
+    if mine != theirs:
+        from collections import Counter
+
+        left, right = Counter(map(repr, mine)), Counter(map(repr, theirs))
+        only, other = list((left - right).elements()), list((right - left).elements())
+        if only or other:
+            return (f"{len(mine)} rows vs {len(theirs)}, {len(only)}/{len(other)} unmatched; "
+                    f"{mine_cols}: {sorted(only)[:2]} vs {sorted(other)[:2]}")
     return None
 
 
