@@ -286,3 +286,27 @@ def class_probabilities(spark, sf):
     p = M.class_probabilities(score_on, model)
     total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
     return p.select("id", F.round(total, 6).alias("total"))
+
+
+@query("s11_evaluation_sink")
+def evaluation_sink(spark, sf):
+    """Metrics, confusion, thresholds and misclassified rows written, then read back."""
+    import uuid
+
+    from earthframe.lineage import ensure_checkpoint_dir
+    from earthframe.sources.labelled import write_evaluation
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/evaluation-{uuid.uuid4().hex}"
+    p = predictions(spark, sf)
+    write_evaluation({
+        "metrics": M.class_metrics(p, LABELS), "confusion": M.confusion(p, LABELS),
+        "thresholds": M.threshold_table(p),
+        "misclassified": p.where(F.col("label") != F.col("predicted")),
+    }, folder)
+    counts = [spark.read.json(f"{folder}/{part}").select(F.lit(part).alias("part"))
+              for part in ("metrics", "confusion", "thresholds", "misclassified")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
