@@ -107,7 +107,7 @@ def fit_intent(features: DataFrame, labels: Sequence[str], c: float) -> Logistic
         "features", "target"))
     return LogisticRegression(
         featuresCol="features", labelCol="target", family="multinomial", elasticNetParam=0.0,
-        standardization=False, regParam=1.0 / (c * data.count()), maxIter=100).fit(data)
+        standardization=False, regParam=1.0 / (c * data.count()), maxIter=100, tol=1e-4).fit(data)
 
 
 def class_probabilities(features: DataFrame, model: LogisticRegressionModel) -> DataFrame:
