@@ -42,7 +42,7 @@ def instant_micros(text: Column) -> Column:
     shift = F.when(zone.isin("", "Z"), F.lit(0)).otherwise(sign * minutes)
     return F.when(
         text.rlike(ISO_INSTANT),
-        epoch_micros(instant_local(text)) - shift * F.lit(60_000_000),
+        epoch_micros(instant_local(text)) - shift.cast("bigint") * F.lit(60_000_000),
     )
 
 
