@@ -350,10 +350,17 @@ def completeness(groups: DataFrame, merged: DataFrame, by: Sequence[str]) -> Dat
 
 
 def requested_operations(steps: DataFrame) -> DataFrame:
-    """Union of what a run's plan steps ask for, first-seen order, once each."""
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "operations"))), lambda s: s["operations"])
-    return steps.groupBy("run_id").agg(F.array_distinct(F.flatten(ordered)).alias("operations"))
+    """Union of what a run's plan steps ask for, first-seen order, once each.
+
+    Each operation keeps only its first place before anything is gathered, so the list of a
+    run is as long as its distinct operations, however many steps it has.
+    """
+    asked = steps.select("run_id", "pos", F.posexplode("operations").alias("at", "operation"))
+    first = asked.groupBy("run_id", "operation").agg(
+        F.min(F.struct("pos", "at")).alias("seen"))
+    ordered = F.array_sort(F.collect_list(F.struct("seen", "operation")))
+    return first.groupBy("run_id").agg(
+        F.transform(ordered, lambda s: s["operation"]).alias("operations"))
 
 
 def not_contained(df: DataFrame, inner: str, outer: str) -> DataFrame:

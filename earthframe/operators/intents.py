@@ -150,13 +150,14 @@ def order_families(df: DataFrame, seed: str) -> DataFrame:
     ).withColumn("key", F.sha2(F.concat_ws(":", F.lit(seed), F.col("first").cast("string")), 256))
 
 
-def _running_share(families: DataFrame, by: Sequence[str], blocks: int = 64) -> DataFrame:
+def _running_share(families: DataFrame, by: Sequence[str]) -> DataFrame:
     """Share of members before each family within its group, in (size desc, key) order.
 
-    Two levels: totals per (size, leading key bits) block are ranked first, so no group is
-    sorted in one task unless all of it shares one size and key prefix.
+    Two levels: totals per (size, leading key digits) block are ranked first and families
+    only within their block; the key is a hash, so 4096 blocks share even a label of
+    single-text families evenly.
     """
-    prefix = F.substring("key", 1, 2)
+    prefix = F.substring("key", 1, 3)
     order = families.withColumn("_block", prefix)
     sums = order.groupBy(*by, "size", "_block").agg(F.sum("size").alias("_sum"))
     upto = Window.partitionBy(*by).orderBy(F.desc("size"), "_block").rowsBetween(

@@ -23,28 +23,29 @@ def admit_one(hits: deque, now: float, limit: int, window: float) -> tuple[bool,
     return True, None
 
 
-def with_bursts(events: DataFrame, window: float) -> DataFrame:
-    """Add ``burst``: spans of a client's events separated by a whole empty window.
+def with_bursts(events: DataFrame, window: float, key: str = "client") -> DataFrame:
+    """Add ``burst``: spans of a key's events separated by a whole empty window.
 
-    After such a gap nothing is remembered, so bursts are independent and even one client's
-    traffic is spread. Gaps are looked for among (client, bin) pairs, not among events.
+    After such a gap nothing is remembered, so bursts are independent and even one key's
+    traffic is spread. Gaps are looked for among (key, bin) pairs, not among events.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     step = int(window * 1_000_000)
     binned = events.withColumn("_bin", F.floor(micros / F.lit(step)))
-    bins = binned.select("client", "_bin").distinct()
-    order = Window.partitionBy("client").orderBy("_bin")
+    bins = binned.select(key, "_bin").distinct()
+    order = Window.partitionBy(key).orderBy("_bin")
     starts = F.when(F.col("_bin") - F.lag("_bin", 1).over(order) <= 1, 0).otherwise(1)
     marked = bins.withColumn("_new", starts).withColumn(
         "burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return binned.join(marked, ["client", "_bin"]).drop("_bin")
+    return binned.join(marked, [key, "_bin"]).drop("_bin")
 
 
 def admit_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
     """Admission of events (client, event_id, ts): one row each with its verdict.
 
     Events are streamed through in time order per burst; a task holds at most ``limit``
-    times however long a burst is, and never a whole client.
+    times however long a burst is, and never a whole client. Within one unbroken burst each
+    verdict depends on the one before, so a burst is the unit that cannot be divided.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, hits = None, deque()

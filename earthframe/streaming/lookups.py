@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from earthframe.streaming.admission import with_bursts
+
 OUT = "key string, event_id bigint, ts timestamp, action string"
 
 
@@ -25,22 +27,26 @@ def decide(stored: float | None, now: float, ok: bool, ttl: float) -> tuple[str,
 
 
 def first_seen_batch(lookups: DataFrame, ttl: float) -> DataFrame:
-    """Action per lookup (key, event_id, ts, ok), streamed in time order per key."""
+    """Action per lookup (key, event_id, ts, ok), streamed in time order.
+
+    Nothing outlives a ttl without lookups, so a key is divided at such gaps.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, stored = None, None
         for batch in batches:
             actions = []
-            for key, micros, ok in zip(batch["key"], batch["_us"], batch["ok"]):
-                if key != current:
-                    current, stored = key, None
+            for key, burst, micros, ok in zip(
+                    batch["key"], batch["burst"], batch["_us"], batch["ok"]):
+                if (key, burst) != current:
+                    current, stored = (key, burst), None
                 action, stored = decide(stored, micros / 1e6, ok, ttl)
                 actions.append(action)
             yield batch[["key", "event_id", "ts"]].assign(action=actions)
 
-    keyed = lookups.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "ok"
-                           ).withColumn("_us", F.unix_micros("ts"))
-    return keyed.repartition("key").sortWithinPartitions("key", "_us", "event_id").mapInPandas(
-        run, OUT)
+    typed = lookups.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "ok")
+    keyed = with_bursts(typed, ttl, "key").withColumn("_us", F.unix_micros("ts"))
+    return keyed.repartition("key", "burst").sortWithinPartitions(
+        "key", "burst", "_us", "event_id").mapInPandas(run, OUT)
 
 
 def first_seen_stream(lookups: DataFrame, ttl: float, watermark: str = "10 minutes") -> DataFrame:
