@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from earthframe.llm.near_dedup import near_duplicates
+from earthframe.llm.repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and their SQL."""
-    queries = (op5_minhash_near_dedup,)
+    queries = (op5_minhash_near_dedup, op9_suffix_array_dedup)
     return {q.__name__: q for q in queries}, {}
