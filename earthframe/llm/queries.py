@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from earthframe.llm.near_dedup import near_duplicates
+from earthframe.llm.packing import pack
 from earthframe.llm.repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +26,11 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and their SQL."""
-    queries = (op5_minhash_near_dedup, op9_suffix_array_dedup)
+    queries = (op5_minhash_near_dedup, op9_suffix_array_dedup, op10_packing)
     return {q.__name__: q for q in queries}, {}
