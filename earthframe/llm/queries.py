@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from earthframe.llm import exact_dedup, html_text, toxicity
 from earthframe.llm.near_dedup import near_duplicates
 from earthframe.llm.packing import pack
 from earthframe.llm.repeats import remove_repeats
@@ -17,6 +18,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -32,5 +46,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and their SQL."""
-    queries = (op5_minhash_near_dedup, op9_suffix_array_dedup, op10_packing)
-    return {q.__name__: q for q in queries}, {}
+    queries = (op1_exact_dedup, op2_toxicity, op3_html_extraction, op5_minhash_near_dedup, op9_suffix_array_dedup, op10_packing)
+    return {q.__name__: q for q in queries}, {"op1_exact_dedup": exact_dedup.OP1_SQL}
