@@ -74,8 +74,8 @@ def document_names(rows: DataFrame, bits: int = 64) -> DataFrame:
     return sizes.join(done, ["_doc", "_tag"])
 
 
-def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def decide(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """``exact_duplicates`` with the keys of the rows.
 
     Texts are equal that agree without white space; null counts as empty. Of equal texts the row with the most code
     points stays, then that with the smallest doc_id, where a null doc_id is larger than any. Of fully repeated rows one
@@ -87,18 +87,22 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
     base = saved(rows.select("_doc", "_tag", "doc_id", F.length("text").alias("points"),
                              F.sha2(F.encode(plain, "UTF-8"), 256).alias("text_sha256"))
                  .withColumn("row", F.monotonically_increasing_id()))
-    names = document_names(rows.select("_doc", "_tag", plain.alias("text")).dropDuplicates(["_doc", "_tag"])
-                           if rows_repeat(base) else rows.select("_doc", "_tag", plain.alias("text")), bits)
+    texts = rows.select("_doc", "_tag", plain.alias("text"))
+    if base.groupBy("_doc", "_tag").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["_doc", "_tag"])
+    names = document_names(texts, bits)
     named = saved(base.join(names, ["_doc", "_tag"]))
     best = F.min(F.struct((-F.col("points")).alias("points"), "_doc", "row")).alias("best")
     groups = saved(named.groupBy("blocks", "name").agg(best, F.count("*").alias("group_size")))
     out = named.join(groups, ["blocks", "name"])
-    return out.select("doc_id", F.when(F.col("best._doc") != NO_ID, F.col("best._doc")).alias("keep_id"),
+    return out.select("_doc", "_tag", "doc_id", F.when(F.col("best._doc") != NO_ID, F.col("best._doc")).alias("keep_id"),
                       "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
 
-def rows_repeat(base: DataFrame) -> bool:
-    return bool(base.groupBy("_doc", "_tag").count().where("count > 1").limit(1).count())
+
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; see ``decide``."""
+    return decide(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP1_SQL = r"""

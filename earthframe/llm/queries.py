@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earthframe.llm import exact_dedup, html_text, nearest_vectors, suffix_tree_lm, toxicity
+from earthframe.llm import exact_dedup, html_text, licenses, mixing, nearest_vectors, suffix_tree_lm, toxicity
 from earthframe.llm.near_dedup import near_duplicates
 from earthframe.llm.packing import pack
 from earthframe.llm.repeats import remove_repeats
@@ -31,10 +31,18 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +62,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and their SQL."""
-    queries = (op1_exact_dedup, op2_toxicity, op3_html_extraction, op5_minhash_near_dedup, op7_suffix_tree_lm, op8_nearest_vectors,
+    queries = (op1_exact_dedup, op2_toxicity, op3_html_extraction, op4_mixing,
+               op5_minhash_near_dedup, op6_license_scan, op7_suffix_tree_lm, op8_nearest_vectors,
                op9_suffix_array_dedup, op10_packing)
-    return {q.__name__: q for q in queries}, {"op1_exact_dedup": exact_dedup.OP1_SQL, "op8_nearest_vectors": nearest_vectors.OP8_SQL}
+    return {q.__name__: q for q in queries}, {
+        "op1_exact_dedup": exact_dedup.OP1_SQL, "op4_mixing": mixing.OP4_SQL, "op8_nearest_vectors": nearest_vectors.OP8_SQL}

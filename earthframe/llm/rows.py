@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthframe.lineage import saved
@@ -14,19 +14,33 @@ from earthframe.lineage import saved
 NO_ID = 2**63 - 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` as (_doc, _tag, doc_id, text).
+def row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """Columns that name a text: the doc_id, NO_ID where null, and a tag.
 
-    ``_doc`` is the doc_id, NO_ID where null. ``_tag`` is 0 where doc_ids are unique; where an id is null
-    or stands in several rows it is a hash of the text, so (_doc, _tag) names a text in any case, and rows
+    The tag is 0 where doc_ids are unique; where an id is null or stands in several rows it is a hash of the text. Rows
     that agree in both are repeated rows.
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     unclear = ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tag = F.xxhash64(text) if unclear else F.lit(0).cast("bigint")
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_doc"),
-                       tag.alias("_tag"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) if unclear else F.lit(0).cast("bigint")
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), tag
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as (_doc, _tag, doc_id, text), null texts as empty ones."""
+    doc, tag = row_key(docs)
+    return docs.select(doc.alias("_doc"), tag.alias("_tag"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose key stands in ``keys`` (_doc, _tag), with their own columns; repeated rows once if ``once``."""
+    doc, tag = row_key(docs)
+    wanted = keys.select(F.col("_doc").alias("key of row"), F.col("_tag").alias("tag of row")).distinct()
+    out = docs.withColumn("key of row", doc).withColumn("tag of row", tag).join(wanted, ["key of row", "tag of row"], "left_semi")
+    if once and out.select("key of row", "tag of row").groupBy("key of row", "tag of row").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["key of row", "tag of row"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
