@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 Fitting takes a bounded sample of the labelled rows and keeps as features the words, and word beginnings of four characters, that
-go with a label far more often than chance would have it. Each example is its TF-IDF vector over them; the
-examples form an inverted index whose posting lists are cut into blocks of 32 examples with the largest weight of
+go with the toxic label far more often than chance would have it. Each example is its TF-IDF vector over them; the
+examples form an inverted index whose posting lists are cut into blocks of 64 examples with the largest weight of
 each block. A text finds its nearest examples exactly: the block maxima bound what any example of a block can
 reach, and blocks are read from the highest bound down until no bound reaches the worst of the neighbours found. Neighbours
 vote with their cosine as weight, against a prior of the share of toxic examples without any feature.
@@ -21,40 +21,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthframe.lineage import saved
-from earthframe.llm.bytesets import texts
+from earthframe.llm.bytesets import slices, texts
+from earthframe.llm.near_dedup import shingle_sets
 from earthframe.llm.rows import arrow_map
 
 #: Labelled rows that are fitted on, features kept, neighbours asked.
 EXAMPLES, FEATURES, NEIGHBOURS = 16_384, 4_096, 15
-BLOCK, BEGINNING = 32, 4
-#: Rows of a label that must show a feature, and the strength of association (a G statistic) from which it is kept.
-SUPPORT, STRENGTH = 3, 18.0
+BLOCK, BEGINNING = 64, 4
+#: Toxic rows that must show a feature, the strength of association (a G statistic) and how many times as often toxic
+#: rows must show it as others do for it to be kept.
+SUPPORT, STRENGTH, RATIO = 3, 18.0, 10
+#: Share of the toxic examples that must show a feature.
+SHOWN = 0.015
 #: Weight of the prior in a vote, as a sum of cosines.
-PRIOR_WEIGHT = 0.05
+PRIOR_WEIGHT = 0.25
 THRESHOLD = 0.3
+#: Words whose features a task remembers.
+REMEMBERED = 500_000
 
 _EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 
 
+def terms(word: str) -> tuple[str, ...]:
+    """Features of a lower-case word: itself without marks at its edges, and its beginning if it is longer (marked by a hyphen)."""
+    word = word.strip(_EDGE)
+    return (word, word[:BEGINNING] + "-") if len(word) > BEGINNING else (word,) if word else ()
+
+
 def features(text: str) -> Counter:
-    """Words without marks at their edges, lower-cased, and the beginnings of longer ones (marked by a hyphen)."""
     found: Counter = Counter()
     for word, n in Counter(text.lower().split()).items():
-        word = word.strip(_EDGE)
-        if word:
-            found[word] += n
-            if len(word) > BEGINNING:
-                found[word[:BEGINNING] + "-"] += n
+        for term in terms(word):
+            found[term] += n
     return found
 
 
 def _features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for text, doc, label in zip(texts(batch.column("text")), batch.column("example"), batch.column("toxic"), strict=True):
-        found = features(text.as_py())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([doc.as_py()] * len(found), pa.int64()), pa.array([label.as_py()] * len(found), pa.int32()),
-             pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
-            ["example", "toxic", "feature", "n"])
+    """Features of each example, and its kind: the smallest of its shingle hashes, which near copies mostly share."""
+    for rows, data, offsets in slices(batch):
+        sets, _, _ = shingle_sets(data, offsets)
+        kinds = [int(s.min().astype(np.int64)) if len(s) else 0 for s in sets]
+        told = zip(texts(rows.column("text")), rows.column("example"), rows.column("toxic"), kinds, strict=True)
+        for text, doc, label, kind in told:
+            found = features(text.as_py())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc.as_py()] * len(found), pa.int64()), pa.array([label.as_py()] * len(found), pa.int32()),
+                 pa.array([kind] * len(found), pa.int64()), pa.array(list(found), pa.string()),
+                 pa.array(list(found.values()), pa.int64())], ["example", "toxic", "kind", "feature", "n"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -141,8 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
              .groupBy("example").agg(F.max("toxic").alias("toxic")))
     chosen = known.orderBy(F.xxhash64("example"), "example").limit(EXAMPLES)  # the bound that makes it broadcastable
     rows = docs.select(F.col("doc_id").cast("bigint").alias("example"), F.col("text").cast("string").alias("text"))
-    told = saved(arrow_map(rows.join(F.broadcast(chosen), "example"), _features, "example bigint, toxic int, feature string, n bigint")
-                 .groupBy("example", "toxic", "feature").agg(F.max("n").alias("n")))
+    told = saved(arrow_map(rows.join(F.broadcast(chosen), "example"), _features,
+                           "example bigint, toxic int, kind bigint, feature string, n bigint"))
+    # Near copies teach once: of each kind the smallest id stays, and of a repeated id the fullest counts.
+    first = told.groupBy("toxic", "kind").agg(F.min("example").alias("example"))
+    told = saved(told.join(first, ["toxic", "kind", "example"]).groupBy("example", "toxic", "feature").agg(F.max("n").alias("n")))
     sizes = {r.toxic: r.n for r in told.select("example", "toxic").distinct().groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total, toxic = sum(sizes.values()), sizes.get(1, 0)
     seen = told.groupBy("feature").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("a"))
@@ -155,23 +171,42 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     shown, not_shown = F.col("df"), F.lit(float(total)) - F.col("df")
     strength = 2 * (part(F.col("a"), shown * toxic / total) + part(b, shown * clean / total)
                     + part(c, not_shown * toxic / total) + part(d, not_shown * clean / total))
-    for_toxic = F.col("a") * clean > b * toxic
+    for_toxic = F.col("a") * clean >= RATIO * (b + 0.5) * toxic
     kept = (seen.withColumn("strength", strength)
-            .where(for_toxic & (F.col("a") >= SUPPORT) & (F.col("strength") >= STRENGTH))
+            .where(for_toxic & (F.col("a") >= max(SUPPORT, SHOWN * toxic)) & (F.col("strength") >= STRENGTH))
             .orderBy(F.desc("strength"), "feature").limit(FEATURES).select("feature", "df")) if toxic and clean else seen.limit(0)
     idf = {r.feature: math.log((1 + total) / (1 + r.df)) + 1 for r in kept.select("feature", "df").collect()}
     examples = told.join(F.broadcast(kept.select("feature")), "feature").select("example", "toxic", "feature", "n").collect()
     return build_index([tuple(r) for r in examples], idf, sizes)
 
 
-def vote(index: Index, text: str) -> tuple[float, list[tuple[float, int]]]:
+class Lookup(dict):
+    """Feature numbers and idf of a word as it stands in a text; remembers the words it has seen."""
+
+    def __init__(self, index: Index):
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = tuple(self.index.idf[f] for f in terms(word) if f in self.index.idf)
+        return found
+
+
+def vote(words: Lookup, text: str) -> tuple[float, list[tuple[float, int]]]:
     """Score of one text and the neighbours that it rests on."""
-    query = {index.idf[f][0]: (1 + math.log(n)) * index.idf[f][1] for f, n in features(text).items() if f in index.idf}
+    index, query, times = words.index, {}, {}
+    for word, n in Counter(text.lower().split()).items():
+        for f, idf in words[word]:
+            times[f] = times.get(f, 0) + n
+            query[f] = idf
     if not query:
         return index.prior, []
-    found = nearest(index, query)
+    found = nearest(index, {f: (1 + math.log(times[f])) * idf for f, idf in query.items()})
     weight = sum(s for s, _ in found)
-    return ((sum(s * int(index.labels[e]) for s, e in found) + PRIOR_WEIGHT * index.prior) / (weight + PRIOR_WEIGHT), found)
+    toxic = sum(s * int(index.labels[e]) for s, e in found)
+    return float((toxic + PRIOR_WEIGHT * index.prior) / (weight + PRIOR_WEIGHT)), found
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -184,10 +219,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(fit(docs, labels))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        words, index = Lookup(shared.value), shared.value
         scores, evidence = [], []
         for text in texts(batch.column("text")):
-            value, found = vote(index, text.as_py())
+            value, found = vote(words, text.as_py())
             scores.append(value)
             evidence.append([{"doc_id": int(index.ids[e]), "cosine": s, "toxic": int(index.labels[e])} for s, e in found[:3]])
         yield pa.RecordBatch.from_arrays(
@@ -200,3 +235,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
     return arrow_map(rows, run, "doc_id bigint, held_out boolean, score double, predicted int, "
                                 "evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
+
+
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their own columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = Lookup(shared.value)
+        clean = [vote(words, text.as_py())[0] < THRESHOLD for text in texts(batch.column("text"))]
+        yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
