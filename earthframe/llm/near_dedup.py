@@ -7,8 +7,10 @@ under its five "one symbol left out" forms, so every such pair meets in an index
 similarity 0.75 differ in 20 symbols on average; one that differs in more is still met unless all 16 chunks
 hold two errors, which has a chance of 1e-7. Links are confirmed on the full sets.
 
-Texts with the same word sequence are one class, so copies are never paired. In an index entry only links to its smallest class are tried first; then only
-classes of one entry that are still in different components are compared, until nothing is left to compare.
+Texts with the same word sequence are one class, so copies are never paired. In an index entry only links to
+its most central class (the one that meets most others anywhere) are tried first. Classes of one entry that are then
+still in different components are compared if their sizes and their rarest shingles allow a link at all: shingles are ordered
+by how many of these classes hold them, and two sets that are similar enough share one among the first few of both.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earthframe.lineage import saved
@@ -125,8 +127,37 @@ def _fits(one: str, two: str) -> F.Column:
     return 100 * F.least(one, two) >= SIMILARITY * F.greatest(one, two)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def _shingles(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(batch.num_rows):
+        own = np.frombuffer(batch.column("shingles")[i].as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(own), batch.column(c)[i].as_py())) for c in ("cls", "n", "component")] + [pa.array(own)],
+            ["cls", "n", "component", "shingle"])
+
+
+def _rare_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``classes`` in different components that may be similar enough.
+
+    Of two sets with sizes x and y that are, at least 3 (x + y) / 7 shingles are common, so the rarest common one
+    is among the first ``size - that + 1`` of both in any one order of the shingles.
+    """
+    held = saved(arrow_map(classes.select("cls", "n", "component", "shingles"), _shingles,
+                           "cls bigint, n bigint, component bigint, shingle bigint"))
+    often = held.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("often", "shingle"))
+    first = saved(held.join(often, "shingle").withColumn("rank", rank)
+                  .where((F.col("often") > 1) & (100 * (F.col("rank") - 1) <= (100 - SIMILARITY) * F.col("n"))))
+    x = first.select("shingle", F.col("cls").alias("a"), "n", "rank", "component")
+    y = first.select("shingle", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rank").alias("place"),
+                     F.col("component").alias("other"))
+    common = F.ceil((F.col("n") + F.col("m")) * SIMILARITY / (100.0 + SIMILARITY) - 1e-9)
+    near = (F.col("rank") <= F.col("n") - common + 1) & (F.col("place") <= F.col("m") - common + 1)
+    return (x.join(y, "shingle").where("a < b AND component <> other").where(_fits("n", "m")).where(near)
+            .select("a", "b").distinct())
+
+
+def decide(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the keys of the rows, and ``chosen``: the row, or repeated rows, that stand for a component.
 
     Texts without words are linked with nothing, texts of fewer than five words by their whole word sequence.
     Rows that repeat a doc_id are texts of their own with that id. ``component_id`` is the smallest doc_id of
@@ -141,43 +172,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                          F.first("signature").alias("signature"))
                     .select(F.monotonically_increasing_id().alias("cls"), "one", "two", "first", "n_shingles", "signature"))
     keys = arrow_map(classes.select("cls", "n_shingles", "signature"), _keys, "key bigint, cls bigint, n bigint")
-    shared = keys.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = saved(keys.join(shared.select("key", "hub"), "key"))
-    stars = saved(members.where("cls <> hub.cls").where(_fits("n", "hub.n"))
-                  .groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("entries")))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = saved(keys.join(shared, "key"))
+    central = saved(members.groupBy("cls").agg(F.sum("size").alias("meets")))
+    hubs = saved(members.join(central, "cls").groupBy("key")
+                 .agg(F.max(F.struct("meets", (-F.col("cls")).alias("cls"), "n")).alias("hub"))
+                 .select("key", (-F.col("hub.cls")).alias("hub"), F.col("hub.n").alias("m")))
+    stars = saved(members.join(hubs, "key").where("cls <> hub").where(_fits("n", "m"))
+                  .groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("entries")))
     sets = saved(arrow_map(
-        members.select("cls").distinct().join(classes, "cls").select("cls", "first._doc", "first._tag")
+        central.select("cls").join(classes, "cls").select("cls", "first._doc", "first._tag")
         .join(rows, ["_doc", "_tag"]).groupBy("cls").agg(F.first("text").alias("text")), _sets, "cls bigint, shingles binary"))
 
     # Each class is first held against the entry head that it shares most with, then against the other heads
-    # of other components, then members of one entry that are still apart against each other.
+    # of other components, then against what else of its entries is still apart.
     tried = stars.groupBy("b").agg(F.max_by("a", F.struct("entries", -F.col("a"))).alias("a")).select("a", "b")
     links = _confirm(tried, sets)
-    found = saved(components(links))
-    label = found.select(F.col("node").alias("cls"), "component")
+    label = saved(components(links))
 
     def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
-        joined = df.join(label.select(F.col("cls").alias(node), F.col("component").alias(name)), node, "left")
+        joined = df.join(label.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left")
         return joined.withColumn(name, F.coalesce(name, node))
 
     apart = labelled(labelled(stars.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     links = links.union(_confirm(apart, sets))
-    label = saved(components(links)).select(F.col("node").alias("cls"), "component")
+    label = saved(components(links))
 
     mixed = saved(labelled(members.select("key", "cls", "n"), "cls", "component"))
     several = mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    mixed = saved(mixed.join(several.select("key"), "key"))
-    other = mixed.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    cross = (mixed.withColumnRenamed("cls", "a").join(other, "key").where("component <> other AND a < b")
-             .where(_fits("n", "m")).select("a", "b").distinct()
-             .join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    links = links.union(_confirm(cross, sets))
-    label = saved(components(links)).select(F.col("node").alias("cls"), "component")
+    open_ = mixed.join(several.select("key"), "key").select("cls", "n", "component").distinct()
+    links = links.union(_confirm(_rare_pairs(open_.join(sets, "cls")), sets))
+    label = saved(components(links))
 
     groups = saved(labelled(classes.select("cls", "one", "two", "first"), "cls", "component"))
-    least = groups.groupBy("component").agg(F.min("first._doc").alias("least"))
+    least = groups.groupBy("component").agg(F.min("first").alias("least"))
     ids = saved(groups.join(least, "component").select("one", "two", "least"))
-    out = prints.select("doc_id", "_doc", "n_shingles", "one", "two").join(ids, ["one", "two"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("_doc"))
-    return out.select("doc_id", "n_shingles", F.when(component != NO_ID, component).alias("component_id"),
-                      (F.col("_doc") == component).alias("kept"))
+    out = prints.join(ids, ["one", "two"], "left")
+    own = F.struct("_doc", "_tag")
+    least = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(own)
+    component = least["_doc"]
+    return out.select("_doc", "_tag", "doc_id", "n_shingles", F.when(component != NO_ID, component).alias("component_id"),
+                      (F.col("_doc") == component).alias("kept"), (own == least).alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; see ``decide``."""
+    return decide(docs).select("doc_id", "n_shingles", "component_id", "kept")
