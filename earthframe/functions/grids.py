@@ -109,17 +109,19 @@ def nesting(coarse: Column, fine: Column) -> Column:
 
 
 def general(value: Column) -> Column:
-    """A number at up to six significant digits without trailing zeros (C ``%g``)."""
-    magnitude = F.floor(F.log10(F.when(value != 0.0, F.abs(value)))).cast("int")
-    plain = F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
-    digits = F.coalesce(magnitude, F.lit(0))
-    fixed = F.when(digits >= 5, F.format_string("%.0f", value))
-    for places, upper in ((1, 4), (2, 3), (3, 2), (4, 1), (5, 0)):
-        fixed = fixed.when(
-            digits == upper,
-            F.regexp_replace(F.format_string(f"%.{places}f", value), r"\.?0+$", ""),
-        )
-    return fixed.otherwise(plain)
+    """A number at six significant digits without trailing zeros (C ``%g``)."""
+    scientific = F.format_string("%.5e", value)
+    power = F.regexp_extract(scientific, r"e([-+]\d+)$", 1)
+    digits = F.regexp_replace(F.regexp_extract(scientific, r"^(-?[0-9.]+)e", 1), r"\.?0+$", "")
+
+    def plain(places: Column) -> Column:
+        text = F.printf(F.concat(F.lit("%."), F.greatest(places, F.lit(0)).cast("string"), F.lit("f")), value)
+        return F.when(places > 0, F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+    exponent = F.when(power != "", power.cast("int"))
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")),
+                  F.replace(F.lower(value.cast("string")), F.lit("infinity"), F.lit("inf"))).otherwise(
+        F.when((exponent < -4) | (exponent >= 6), F.concat(digits, F.lit("e"), power)).otherwise(plain(5 - exponent)))
 
 
 def grid_id(g: Column) -> Column:

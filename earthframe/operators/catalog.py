@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earthframe.functions.boxes import bbox_intersects
-from earthframe.functions.rules import lookup, notes
+from earthframe.functions.rules import first_failure, lookup, notes
 
 # The collection each sensor family is discovered in.
 COLLECTION_OF = {
@@ -56,8 +56,24 @@ def search_scenes(scenes: DataFrame, aoi: tuple[float, float, float, float], sta
     return found.orderBy("id").limit(limit)
 
 
+def reject_requests(requests: DataFrame) -> DataFrame:
+    """(request_id, code) of the requests that can't be run, by the first rule they break.
+
+    ``requests``: request_id, windows and, where it is known, aoi_west .. aoi_north.
+    """
+    inverted = F.exists("windows", lambda w: w["start_date"] > w["end_date"])
+    rules = [(F.coalesce(F.size("windows"), F.lit(0)) <= 0, "windows_missing"),
+             (F.size("windows") > MAX_TIME_WINDOWS, "too_many_windows"), (inverted, "window_inverted")]
+    if {"aoi_west", "aoi_south", "aoi_east", "aoi_north"} <= set(requests.columns):
+        rules.append(((F.col("aoi_west") > F.col("aoi_east")) | (F.col("aoi_south") > F.col("aoi_north")), "area_inverted"))
+    return requests.select("request_id", first_failure(rules).alias("code")).where("code IS NOT NULL")
+
+
 def expand_windows(requests: DataFrame) -> DataFrame:
-    """Request -> one row per (modality, labelled window), in request order."""
+    """Request -> one row per (modality, labelled window), in request order.
+
+    Requests over MAX_TIME_WINDOWS are refused as a whole: ``reject_requests`` gives them back.
+    """
     label = (
         F.when((F.col("mode") == "compare") & (F.col("_i") == 0), "baseline")
         .when(F.col("mode") == "compare", "target")
@@ -111,8 +127,11 @@ def discover(windows: DataFrame, scenes: DataFrame, tile_degrees: float = 10.0)
             F.array(F.struct(F.lit(_NO_TILE).alias("x"), F.lit(_NO_TILE).alias("y"))),
         )))
     )
+    # An inverted window or area matches nothing; ``reject_requests`` names it.
+    sound = (F.col("start_date") <= F.col("end_date")) & (F.col("aoi_west") <= F.col("aoi_east")) & (
+        F.col("aoi_south") <= F.col("aoi_north"))
     w = (
-        windows.withColumn("collection", lookup(COLLECTION_OF, F.col("modality")))
+        windows.where(sound).withColumn("collection", lookup(COLLECTION_OF, F.col("modality")))
         .withColumn("_month", F.explode(F.sequence(
             F.trunc("start_date", "MM"), F.trunc("end_date", "MM"), F.expr("interval 1 month"))))
         .withColumn("_tile", F.explode(F.concat(

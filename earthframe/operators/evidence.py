@@ -28,11 +28,14 @@ def union_evidence(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(evidence, duplicates): parts in order with one running ``pos`` per run.
 
     Each part has run_id, pos (its own order), id, source and any of name, value, unit,
-    text. ``pos`` becomes (part, own position) packed in one number, so no sort is needed.
+    text. ``pos`` becomes the array of the part and its own position, which orders as a list does; a
+    union of unions has longer arrays.
     Ids must be unique within a run; the offending ones come back as rows.
     """
     tagged = [
-        p.withColumn("pos", F.lit(i).cast("bigint") * (1 << 32) + F.col("pos").cast("bigint"))
+        p.withColumn("pos", F.concat(
+            F.array(F.lit(i).cast("bigint")),
+            F.col("pos") if dict(p.dtypes)["pos"].startswith("array") else F.array(F.col("pos").cast("bigint"))))
         for i, p in enumerate(parts)
     ]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

@@ -99,15 +99,16 @@ def intent_features(train: DataFrame, others: DataFrame) -> tuple[DataFrame, Dat
     return vectors(grams), vectors(explode_grams(others)), size
 
 
-def fit_intent(features: DataFrame, labels: Sequence[str], c: float) -> LogisticRegressionModel:
-    """Multinomial logistic regression with an L2 penalty of 1/(C n)."""
+def fit_intent(features: DataFrame, labels: Sequence[str], c: float,
+               max_iter: int = 10_000) -> LogisticRegressionModel:
+    """Multinomial logistic regression with an L2 penalty of 1/(C n), fitted until it settles."""
     order = {label: i for i, label in enumerate(labels)}
     index = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(float(v)))])
     data = cut(features.withColumn("target", F.element_at(index, F.col("label"))).select(
         "features", "target"))
     return LogisticRegression(
         featuresCol="features", labelCol="target", family="multinomial", elasticNetParam=0.0,
-        standardization=False, regParam=1.0 / (c * data.count()), maxIter=100, tol=1e-4).fit(data)
+        standardization=False, regParam=1.0 / (c * data.count()), maxIter=max_iter, tol=1e-4).fit(data)
 
 
 def class_probabilities(features: DataFrame, model: LogisticRegressionModel) -> DataFrame:

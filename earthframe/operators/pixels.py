@@ -338,14 +338,9 @@ def value_percentiles(
     return hits.groupBy(*by).agg(*aggs)
 
 
-def stretch_bounds(pixels: DataFrame, by: Sequence[str], value: str, exact: bool = True) -> DataFrame:
+def stretch_bounds(pixels: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """2nd and 98th percentiles (p02, p98) of the displayed values per group."""
-    if exact:
-        return value_percentiles(pixels, by, value, (0.02, 0.98))
-    approx = F.percentile_approx(value, F.array(F.lit(0.02), F.lit(0.98)), F.lit(10_000))
-    return pixels.groupBy(*by).agg(approx.alias("_p")).select(
-        *by, F.col("_p")[0].alias("p02"), F.col("_p")[1].alias("p98")
-    )
+    return value_percentiles(pixels, by, value, (0.02, 0.98))
 
 
 def display_stretch(pixels: DataFrame, by: Sequence[str], value: str, valid: str) -> DataFrame:

@@ -11,12 +11,14 @@ from earthframe.functions import questions as Q
 def mentioned_place(questions: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(question_id, place, status): the known place a question names.
 
-    Word runs of the question meet gazetteer names on equality. A match inside a longer one
-    does not count; two different places are ambiguous, none is missing.
+    Word runs of the question, as long as the longest name, meet gazetteer names on equality. A
+    match inside a longer one does not count; two different places are ambiguous, none is missing.
     """
-    runs = questions.select("question_id", F.explode(Q.place_ngrams(F.col("text"))).alias("r")).select(
+    names = gazetteer.select(F.array_join(Q.place_words(F.col("name")), " ").alias("gram"),
+                             F.col("name").alias("place")).where("gram <> ''").distinct()
+    longest = names.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+    runs = questions.select("question_id", F.explode(Q.place_ngrams(F.col("text"), longest)).alias("r")).select(
         "question_id", "r.at", "r.words", "r.gram")
-    names = gazetteer.select(F.lower("name").alias("gram"), F.col("name").alias("place")).distinct()
     hits = runs.join(names, "gram").groupBy("question_id").agg(
         F.collect_list(F.struct("at", "words", "place")).alias("hits"))
     outer = F.filter("hits", lambda h: ~F.exists("hits", lambda o: (

@@ -25,6 +25,40 @@ def expand_windows(spark, sf):
         *KEY, F.col("start_date").cast("string"), F.col("end_date").cast("string"), "pos")
 
 
+_BROKEN = """
+CASE WHEN c_custkey % 11 = 0 THEN 'too_many_windows' WHEN c_custkey % 13 = 0 THEN 'window_inverted'
+     WHEN c_custkey % 17 = 0 THEN 'area_inverted' END"""
+
+
+def broken_requests(spark, sf):
+    """The requests, some with 25 windows, an inverted window or an inverted area."""
+    r, key = V.requests(spark, sf), F.col("request_id")
+    first = F.get("windows", F.lit(0))
+    turned = F.struct(F.date_add(first["end_date"], 1).alias("start_date"), first["start_date"].alias("end_date"))
+    many = key % 11 == 0
+    return r.withColumn("windows", F.when(many, F.array_repeat(first, 25)).when(
+        key % 13 == 0, F.concat(F.array(turned), "windows")).otherwise(F.col("windows"))).withColumn(
+        "aoi_west", F.when(key % 17 == 0, F.col("aoi_east") + 1).otherwise(F.col("aoi_west")))
+
+
+@query("j7_rejected_requests", f"""
+SELECT * FROM (SELECT c_custkey AS request_id, {_BROKEN} AS code FROM customer) WHERE code IS NOT NULL
+""")
+def rejected_requests(spark, sf):
+    return C.reject_requests(broken_requests(spark, sf))
+
+
+@query("j6_discover_beside_broken", f"""
+SELECT request_id, modality, label, id, cloud_cover FROM discovered
+WHERE request_id NOT IN (SELECT c_custkey FROM customer WHERE {_BROKEN} IS NOT NULL)
+""")
+def discover_beside_broken(spark, sf):
+    """Sound requests are answered although others in the same table are broken."""
+    r = broken_requests(spark, sf)
+    found = C.discover(C.expand_windows(r), V.scenes(spark, sf))
+    return found.join(C.reject_requests(r), "request_id", "left_anti").select(*KEY, "id", "cloud_cover")
+
+
 @query("j6_discover", "SELECT request_id, modality, label, id, cloud_cover FROM discovered")
 def discover(spark, sf):
     return C.discover(V.windows(spark, sf), V.scenes(spark, sf)).select(*KEY, "id", "cloud_cover")
