@@ -73,7 +73,7 @@ class Encoder(dict):
                  if token not in self.special}
         self.merges = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self.own = path, None
-        size = 1 + max(vocabulary["model"]["vocab"].values())
+        size = 1 + max(*vocabulary["model"]["vocab"].values(), *(t["id"] for t in vocabulary["added_tokens"]))
         self.ends = np.zeros(size, bool)
         for token, rank in ranks.items():
             self.ends[rank] = token.strip()[-1:] in (b".", b"!", b"?") or b"\n" in token
