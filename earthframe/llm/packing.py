@@ -98,7 +98,7 @@ class Encoder(dict):
 def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
     """The chosen places, 0 and the last included; neighbours in ``places`` are at most ``length`` apart."""
     exact: dict[int, list[int]] = {}
-    for power in POWERS:
+    for power in (p for p in POWERS if p < length):
         at = np.searchsorted(places, places - power)
         for k in np.flatnonzero(places[at] == places - power).tolist():
             exact.setdefault(k, []).append(int(at[k]))
