@@ -199,11 +199,11 @@ def statistic_kind(spark, sf):
 
 
 @query("f6_stated_unit", """
-SELECT run_id, CASE m WHEN 0 THEN 'index' WHEN 3 THEN 'dB' WHEN 4 THEN 'dB' WHEN 5 THEN 'dB' WHEN 10 THEN 'index' WHEN 12 THEN 'dB' END AS unit, FALSE AS rejected
-FROM runs WHERE m IN (0, 1, 3, 4, 5, 10, 12, 13)
+SELECT run_id, CASE WHEN m IN (0, 10) THEN 'index' WHEN m IN (3, 4, 5, 12) THEN 'dB' WHEN m IN (6, 17) THEN 'm' END AS unit, FALSE AS rejected
+FROM runs
 """)
 def stated_unit(spark, sf):
-    a = answers(spark, sf).where((F.col("run_id") % 20).isin(0, 1, 3, 4, 5, 10, 12, 13))
+    a = answers(spark, sf)
     first = F.get(T.extract_numbers(F.col("summary")), F.lit(0))
     return a.select("run_id", T.stated_unit(F.col("summary"), first).alias("u")).select(
         "run_id", "u.unit", "u.rejected")
@@ -259,11 +259,12 @@ def invented_ids(spark, sf):
 
 
 @query("j17_caveat_exemption", """
-SELECT run_id, m = 6 AS exempt, m IN (6, 7, 11, 15, 17) AS quoted_ok FROM runs WHERE m NOT IN (5, 19)
+SELECT run_id, m = 6 AS exempt, m IN (6, 7, 11, 15, 17) AS quoted_ok
+FROM runs, range(3) clause(n) WHERE n < CASE m WHEN 5 THEN 2 WHEN 19 THEN 3 ELSE 1 END
 """)
 def caveat_exemption(spark, sf):
     clauses, _ = _read(spark, sf)
-    return clauses.where(~(F.col("run_id") % 20).isin(5, 19)).select("run_id", "exempt", "quoted_ok")
+    return clauses.select("run_id", "exempt", "quoted_ok")
 
 
 @query("j9_ground_claims", """
@@ -271,12 +272,14 @@ SELECT run_id, literal, m IN (0, 1, 5, 10, 13, 18) AS supported FROM (
  SELECT run_id, m, CASE WHEN m = 0 THEN printf('%.4f', v) WHEN m = 10 THEN printf('%.3f', v) WHEN m = 2 THEN printf('%.2f', v + 0.1e0)
   WHEN m IN (4, 5) THEN printf('%.2f', vv) WHEN m = 13 THEN CAST(CAST(pixels AS BIGINT) AS VARCHAR) ELSE printf('%.2f', v) END AS literal
  FROM runs WHERE m IN (0, 1, 2, 3, 4, 5, 10, 12, 13, 14, 18)
- UNION ALL SELECT run_id, m, printf('%.2f', difference) FROM runs WHERE m = 5)
+ UNION ALL SELECT run_id, m, printf('%.2f', difference) FROM runs WHERE m = 5
+ UNION ALL SELECT run_id, m, '10' FROM runs, range(2) WHERE m IN (6, 17)
+ UNION ALL SELECT run_id, m, unnest(['1901', '01', '01']) FROM runs WHERE m = 16
+ UNION ALL SELECT run_id, m, unnest([printf('%.2f', v), '1901', '05', '05']) FROM runs WHERE m = 19)
 """)
 def ground_claims(spark, sf):
     clauses, cited = _read(spark, sf)
-    keep = clauses.where(~(F.col("run_id") % 20).isin(6, 16, 17, 19))
-    grounded = G.ground_claims(G.read_claims(keep), G.citable_values(cited))
+    grounded = G.ground_claims(G.read_claims(clauses), G.citable_values(cited))
     return grounded.where(F.col("literal").isNotNull()).select("run_id", "literal", "supported")
 
 
@@ -353,15 +356,15 @@ def sign_wording(spark, sf):
 
 
 @query("p42_small_sample", """
-SELECT l_suppkey AS scene_id, CASE WHEN count(*) < 100 THEN 'Small sample: only ' || count(*) || CASE WHEN count(*) = 1 THEN ' usable pixel' ELSE ' usable pixels' END
+SELECT l_suppkey AS scene_id, l_linenumber AS part, CASE WHEN count(*) < 100 THEN 'Small sample: only ' || count(*) || CASE WHEN count(*) = 1 THEN ' usable pixel' ELSE ' usable pixels' END
  || ' contributed to this result, so interpret it cautiously.' END AS note, round(avg(l_discount) - avg(l_tax), 2) < 0 AS second_stronger
-FROM lineitem WHERE l_linenumber = 7 GROUP BY 1
+FROM lineitem GROUP BY 1, 2
 """)
 def small_sample(spark, sf):
-    per = table(spark, sf, "lineitem").where(F.col("l_linenumber") == 7).groupBy(
-        F.col("l_suppkey").alias("scene_id")).agg(
+    per = table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").alias("scene_id"), F.col("l_linenumber").alias("part")).agg(
         F.count(F.lit(1)).alias("n"), (F.avg("l_discount") - F.avg("l_tax")).alias("d"))
-    return per.select("scene_id", E.small_sample(F.col("n")).alias("note"),
+    return per.select("scene_id", "part", E.small_sample(F.col("n")).alias("note"),
                       E.sar_reading(F.col("d")).contains("second was the stronger").alias("second_stronger"))
 
 
@@ -402,13 +405,13 @@ def run_outcome(spark, sf):
 
 @query("a24_footprint_extent", """
 SELECT id, CASE WHEN west >= -180 AND east <= 180 THEN round(west, 6) END AS west, CASE WHEN west >= -180 AND east <= 180 THEN round(south, 6) END AS south,
- CASE WHEN west >= -180 AND east <= 180 THEN round(east, 6) END AS east, CASE WHEN west >= -180 AND east <= 180 THEN round(north, 6) END AS north FROM scenes WHERE west IS NOT NULL
+ CASE WHEN west >= -180 AND east <= 180 THEN round(east, 6) END AS east, CASE WHEN west >= -180 AND east <= 180 THEN round(north, 6) END AS north FROM scenes
 """)
 def footprint_extent(spark, sf):
     def corner(x, y):
         return F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
 
-    s = V.scenes(spark, sf).where(F.col("west").isNotNull())
+    s = V.scenes(spark, sf)
     quad = F.array(corner("west", "north"), corner("east", "north"), corner("east", "south"),
                    corner("west", "south"))
     return s.select("id", FP.footprint_extent(quad).alias("x")).select(

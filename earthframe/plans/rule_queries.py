@@ -187,15 +187,11 @@ SELECT s.id, a.request_id, round(greatest(0, least(east, aoi_east) - greatest(we
  * greatest(0, least(north, aoi_north) - greatest(south, aoi_south)) / ((aoi_east - aoi_west) * (aoi_north - aoi_south)), 6) AS fraction
 FROM scenes s JOIN requests a ON floor(s.west / 13) = floor(a.aoi_west / 13) AND a.aoi_west = floor(s.west)
  AND NOT (east < aoi_west OR west > aoi_east OR north < aoi_south OR south > aoi_north)
-WHERE s.collection = 'sentinel-1-rtc' AND s.cloud_cover < 2
 """)
 def scene_area_pairs(spark, sf):
     """Footprints against request areas, met on a whole-degree cell, boxes before clipping."""
     box = X.bbox(*[F.col(e) for e in ("west", "south", "east", "north")])
-    scenes = V.scenes(spark, sf).where(
-        (F.col("collection") == "sentinel-1-rtc") & (F.col("cloud_cover") < 2)
-        & F.col("west").isNotNull()
-    ).select("id", "west", "south", "east", "north", F.floor("west").alias("cell"),
+    scenes = V.scenes(spark, sf).where(F.col("west").isNotNull()).select("id", "west", "south", "east", "north", F.floor("west").alias("cell"),
              FP.box_polygons(box).alias("polygons"))
     areas = V.requests(spark, sf).select(
         "request_id", *[f"aoi_{e}" for e in ("west", "south", "east", "north")],
