@@ -158,13 +158,13 @@ def scene_rule_cascade(spark, sf):
 SELECT scene_id, CASE WHEN code IN ('required_asset_missing', 'unsupported_asset_type', 'unsupported_asset_encoding')
   THEN NULL ELSE code END AS code,
  CASE WHEN m = 9 OR m = 10 THEN first_key || '=required_asset_missing' WHEN m IN (11, 12, 14) THEN first_key || '=unsupported_asset_type'
-  WHEN m = 13 OR (m = 16 AND FALSE) THEN first_key || '=unsupported_asset_encoding' END AS unavailable
-FROM (SELECT *, {SQL_SCENE_CODE} AS code FROM items WHERE m NOT IN (30, 16))
+  WHEN m = 30 THEN CASE WHEN NOT sar THEN 'vv=required_asset_missing,vh=required_asset_missing' ELSE 'green=required_asset_missing,nir=required_asset_missing' END
+  WHEN m = 13 THEN first_key || '=unsupported_asset_encoding' END AS unavailable
+FROM (SELECT *, {SQL_SCENE_CODE} AS code FROM items)
 """)
 def partial_assets(spark, sf):
     """Tolerant mode: a bad asset is recorded and the scene stands if another one is good."""
-    usual = _parsed(spark, sf).where(~(F.col("k") % 31).isin(16, 30))
-    out = S.validate_scenes(usual, _aoi_box(), ASSETS, require_all=False, min_coverage=0.3)
+    out = S.validate_scenes(_parsed(spark, sf), _aoi_box(), ASSETS, require_all=False, min_coverage=0.3)
     entries = F.array_join(F.transform(
         F.map_entries("unavailable"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return out.select("scene_id", "code", F.when(entries != "", entries).alias("unavailable"))
