@@ -293,11 +293,10 @@ def evaluation_sink(spark, sf):
     """Metrics, confusion, thresholds and misclassified rows written, then read back."""
     import uuid
 
-    from earthframe.lineage import ensure_checkpoint_dir
+    from earthframe.lineage import shared_folder
     from earthframe.sources.labelled import write_evaluation
 
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/evaluation-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/evaluation-{uuid.uuid4().hex}"
     p = predictions(spark, sf)
     write_evaluation({
         "metrics": M.class_metrics(p, LABELS), "confusion": M.confusion(p, LABELS),

@@ -6,14 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earthframe.lineage import ensure_checkpoint_dir
+from earthframe.lineage import shared_folder
 
 
 def drain(stream: DataFrame) -> DataFrame:
     """Process everything available, write it to the shared folder, and read it back."""
     spark: SparkSession = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True)

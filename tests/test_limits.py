@@ -69,3 +69,12 @@ def test_broken_requests_come_back_and_stop_nobody(spark):
                                    "id string, collection string, acquired_date date, west double, south double, east double, north double")
     found = catalog.discover(catalog.expand_windows(requests), scenes).select("request_id").collect()
     assert [r.request_id for r in found] == [1]
+
+
+def test_what_an_image_of_a_place_shows_is_visual(spark):
+    asked = {"What does the satellite image of Marina Beach, Chennai show in January 2025?": True,
+             "What does the image of Marina Beach, Chennai contain in January 2025?": True,
+             "Show the image of Marina Beach, Chennai in January 2025": False,
+             "Show the scene of Marina Beach in January 2025 and show the NDWI": False}
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", questions.question_flags(F.col("q"))["visual"].alias("v"))
+    assert {r.q: r.v for r in rows.collect()} == asked
