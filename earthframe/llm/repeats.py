@@ -17,8 +17,8 @@ stretch; they alone can hold strings that are equal only in part.
 Induction. The bytes of those stretches are fetched, sorted as suffixes from the sampled place with the common
 prefixes of neighbours, and for each step to the left the order is induced by a stable pass over the preceding byte;
 a common prefix is the steps taken plus the smallest common prefix between the two in the sorted sample. Neighbours with
-100 bytes in common are one string. Sampled strings with too many different stretches for memory are settled
-string by string with a grouped minimum instead, which needs none.
+100 bytes in common are one string. Sampled strings with very many different stretches are settled
+string by string with a grouped minimum instead, which no group makes slower.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from earthframe.llm import bytesets as bs
 from earthframe.llm.rows import arrow_map, keyed
 
 LENGTH, SAMPLE = 100, 32
-#: Stretches of one sampled string that a task sorts in memory; more are settled by grouping.
-IN_MEMORY = 50_000
+#: Stretches that a task sorts at once, and those of one sampled string from which they are settled by grouping.
+IN_MEMORY, LARGE = 50_000, 4_096
 #: Tuples folded in a task before they are shuffled.
 FOLD = 1 << 20
 
@@ -324,7 +324,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     open_ = saved(arrow_map(
         cuts.join(distinct, ["_doc", "_tag"]).select("_doc", "_tag", "text", "cuts"), _stretches,
         "sample bigint, place bigint, far bigint, near bigint, _doc bigint, _tag bigint, bytes binary"))
-    large = saved(open_.groupBy("sample").count().where(F.col("count") > IN_MEMORY).select("sample"))
+    large = saved(open_.groupBy("sample").count().where(F.col("count") > LARGE).select("sample"))
     small = open_.join(large, "sample", "left_anti").repartition("sample").sortWithinPartitions("sample")
     span = "_doc bigint, _tag bigint, start bigint, stop bigint"
     induced = small.mapInArrow(_induced, span)

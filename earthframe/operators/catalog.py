@@ -201,24 +201,33 @@ def execute(windows: DataFrame, scenes: DataFrame, limit: int = DEFAULT_LIMIT) -
     """Windows with how many scenes matched, how many the page returned, and the choice.
 
     ``scenes_matched`` and ``scene_count`` stay different facts; the choice is made within
-    the page. Windows that found nothing keep a row with zero scenes.
+    the page. Windows that found nothing keep a row with zero scenes. One discovery gives the
+    count, the page and the choice.
     """
-    found = discover(windows, scenes).select(*WINDOW_KEY, *SCENE_FIELDS)
-    matched = found.groupBy(*WINDOW_KEY).agg(F.count(F.lit(1)).alias("scenes_matched"))
+    _check_limit(limit)
+    rank = F.row_number().over(Window.partitionBy(*WINDOW_KEY).orderBy("id"))
+    found = discover(windows, scenes).select(*WINDOW_KEY, *SCENE_FIELDS).withColumn("_rank", rank)
     best = scene_order(F.col("modality") == OPTICAL)
-    chosen = page(found, WINDOW_KEY, ["id"], limit).groupBy(*WINDOW_KEY).agg(
-        F.count(F.lit(1)).alias("scene_count"),
-        F.min_by(F.struct(*SCENE_FIELDS), best).alias("scene"),
+    on_page = F.col("_rank") <= limit
+    chosen = found.groupBy(*WINDOW_KEY).agg(
+        F.count(F.lit(1)).alias("scenes_matched"), F.count_if(on_page).alias("scene_count"),
+        F.min_by(F.when(on_page, F.struct(*SCENE_FIELDS)), F.when(on_page, best)).alias("scene"),
     )
     zero = F.lit(0).cast("bigint")
     return (
-        windows.join(matched, WINDOW_KEY, "left").join(chosen, WINDOW_KEY, "left")
+        windows.join(chosen, WINDOW_KEY, "left")
         .withColumn("scenes_matched", F.coalesce("scenes_matched", zero))
         .withColumn("scene_count", F.coalesce("scene_count", zero))
         .withColumn("selected_scene_id", F.col("scene.id"))
     )
 
 
+def found_windows(windows: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Windows with ``found``: whether any scene matched. Nothing is ranked or carried for it."""
+    hits = discover(windows, scenes).select(*WINDOW_KEY).distinct().withColumn("found", F.lit(True))
+    return windows.join(hits, WINDOW_KEY, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def observations(executed: DataFrame) -> DataFrame:
     """The scene each window actually selected; windows without one contribute nothing."""
     keep = [c for c in executed.columns if c != "scene"]

@@ -154,7 +154,9 @@ SELECT request_id, CASE WHEN count(error) = 0 THEN 'completed' WHEN count(error)
  ELSE 'partial' END AS status FROM executed GROUP BY request_id
 """)
 def execution_status(spark, sf):
-    return C.execution_status(V.requests(spark, sf), V.executed(spark, sf))
+    found = C.found_windows(V.windows(spark, sf), V.scenes(spark, sf))
+    failed = ~F.col("found") & (F.col("request_id") % 2 == 0)
+    return C.execution_status(V.requests(spark, sf), found.withColumn("error", F.when(failed, "catalog did not answer")))
 
 
 @query("a13_catalogs", """
