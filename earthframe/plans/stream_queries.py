@@ -22,7 +22,16 @@ def _verdicts(df):
     return df.select("client", "event_id", "admitted", F.round("retry_after", 3).alias("retry_after"))
 
 
-@query("w7_sliding_admission")
+SLIDING_SQL = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS client, event_id, epoch_us(ts) / 1000000.0e0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+run(client, rn, event_id, hits, admitted, retry) AS (SELECT client, rn, event_id, [t], TRUE, CAST(NULL AS DOUBLE) FROM e WHERE rn = 1 UNION ALL
+ SELECT client, rn, event_id, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, CASE WHEN len(live) >= 3 THEN live[1] + 14400 - t END
+ FROM (SELECT e.client, e.rn, e.event_id, e.t, list_filter(r.hits, lambda h: h > e.t - 14400) AS live FROM run r JOIN e ON e.client = r.client AND e.rn = r.rn + 1))
+SELECT client, event_id, admitted, round(retry, 3) AS retry_after FROM run
+"""
+
+
+@query("w7_sliding_admission", SLIDING_SQL)
 def sliding_admission(spark, sf):
     return _verdicts(admit_batch(_admissions(table(spark, sf, "events")), LIMIT, WINDOW))
 
@@ -55,7 +64,7 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
 
 
-@query("x1_admission_stream")
+@query("x1_admission_stream", SLIDING_SQL)
 def admission_stream(spark, sf):
     return _verdicts(drain(admit_stream(_admissions(_event_stream(spark, sf)), LIMIT, WINDOW)))
 
@@ -66,23 +75,28 @@ def _lookups(events):
         "event_id", "ts", (F.col("event_type") != "error").alias("ok"))
 
 
-@query("x2_first_seen", """
+FIRST_SEEN_SQL = """
 WITH RECURSIVE e AS MATERIALIZED (SELECT 'geo|user ' || user_id AS key, event_id, ts, event_type <> 'error' AS ok FROM events),
 r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM e WHERE ok),
 chain(key, rn, ts) AS (SELECT key, rn, ts FROM r WHERE rn = 1 UNION ALL
  SELECT key, rn, ts FROM (SELECT r.key, r.rn, r.ts, row_number() OVER (PARTITION BY r.key, c.rn ORDER BY r.rn) AS first FROM chain c JOIN r ON r.key = c.key AND r.ts > c.ts + INTERVAL 21600 SECOND) WHERE first = 1)
 SELECT a.key, (SELECT count(*) FROM chain c WHERE c.key = a.key) AS resolved, a.n AS lookups FROM (SELECT key, count(*) AS n FROM e GROUP BY key) a
-""")
+"""
+
+
+def _resolved(verdicts):
+    return verdicts.groupBy("key").agg(F.count_if(F.col("action") == "resolve").alias("resolved"),
+                                       F.count(F.lit(1)).alias("lookups"))
+
+
+@query("x2_first_seen", FIRST_SEEN_SQL)
 def first_seen(spark, sf):
-    v = first_seen_batch(_lookups(table(spark, sf, "events")), TTL)
-    return v.groupBy("key").agg(F.count_if(F.col("action") == "resolve").alias("resolved"),
-                                F.count(F.lit(1)).alias("lookups"))
+    return _resolved(first_seen_batch(_lookups(table(spark, sf, "events")), TTL))
 
 
-@query("x2_first_seen_stream")
+@query("x2_first_seen_stream", FIRST_SEEN_SQL)
 def first_seen_over_stream(spark, sf):
-    return drain(first_seen_stream(_lookups(_event_stream(spark, sf)), TTL)).select(
-        "key", "event_id", "action")
+    return _resolved(drain(first_seen_stream(_lookups(_event_stream(spark, sf)), TTL)))
 
 
 sql_view("run_log", """

@@ -68,8 +68,11 @@ def admit_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
 
 
 def admit_stream(events: DataFrame, limit: int, window: float,
-                 watermark: str = "10 minutes") -> DataFrame:
-    """The same verdicts over a stream; state is the admitted times, dropped once aged out."""
+                 watermark: str | None = None) -> DataFrame:
+    """The same verdicts over a stream; state is the admitted times, dropped once aged out.
+
+    Hits may come as late as the window is long, or as late as ``watermark`` says.
+    """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
             ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -90,5 +93,5 @@ def admit_stream(events: DataFrame, limit: int, window: float,
         yield out
 
     source = events.select("client", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return source.withWatermark("ts", watermark).groupBy("client").applyInPandasWithState(
+    return source.withWatermark("ts", watermark or f"{int(window)} seconds").groupBy("client").applyInPandasWithState(
         run, OUT, "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)

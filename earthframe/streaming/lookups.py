@@ -49,8 +49,11 @@ def first_seen_batch(lookups: DataFrame, ttl: float) -> DataFrame:
         "key", "burst", "_us", "event_id").mapInPandas(run, OUT)
 
 
-def first_seen_stream(lookups: DataFrame, ttl: float, watermark: str = "10 minutes") -> DataFrame:
-    """The same over a stream; state is one stored time per key, dropped after its ttl."""
+def first_seen_stream(lookups: DataFrame, ttl: float, watermark: str | None = None) -> DataFrame:
+    """The same over a stream; state is one stored time per key, dropped after its ttl.
+
+    Lookups may come as late as the ttl is long, or as late as ``watermark`` says.
+    """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
             ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,5 +77,5 @@ def first_seen_stream(lookups: DataFrame, ttl: float, watermark: str = "10 minut
         yield out
 
     source = lookups.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "ok")
-    return source.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(
+    return source.withWatermark("ts", watermark or f"{int(ttl)} seconds").groupBy("key").applyInPandasWithState(
         run, OUT, "stored double", "append", GroupStateTimeout.EventTimeTimeout)
