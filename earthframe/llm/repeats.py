@@ -37,7 +37,7 @@ from earthframe.llm.rows import arrow_map, keyed
 
 LENGTH, SAMPLE = 100, 32
 #: Stretches that a task sorts at once, and those of one sampled string from which they are settled by grouping.
-IN_MEMORY, LARGE = 50_000, 4_096
+IN_MEMORY, LARGE = 50_000, 50_000
 #: Tuples folded in a task before they are shuffled.
 FOLD = 1 << 20
 
