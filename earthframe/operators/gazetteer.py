@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earthframe.functions.boxes import bbox, valid_bbox
+from earthframe.functions.boxes import aoi_extent_m, aoi_too_large, bbox, valid_bbox
+from earthframe.functions.rules import first_failure
 from earthframe.functions.text import name_tokens
 
 # Fixed value: how many candidates one search considers.
@@ -81,6 +82,17 @@ def select_candidate(candidates: DataFrame) -> DataFrame:
     return per.select("query", chosen.alias("c")).select("query", "c.*")
 
 
+def location_reasons(queries: DataFrame, selected: DataFrame) -> DataFrame:
+    """(query, reason) for places that can't be analysed: not found, only a point, or too large; else NULL.
+
+    ``queries``: query. ``selected``: the chosen candidate of each query (``select_candidate``).
+    """
+    chosen = selected.select("query", "point_like", "bbox").withColumn("_found", F.lit(True))
+    return queries.join(chosen, "query", "left").select("query", first_failure([
+        (F.col("_found").isNull(), "location_not_found"), (F.col("point_like"), "location_is_point"),
+        (aoi_too_large(aoi_extent_m(F.col("bbox"))), "area_too_large")]).alias("reason"))
+
+
 def geocoder_counters(log: DataFrame) -> DataFrame:
     """Requests, throttled, cache hits, coalesced and refused per service from its log."""
     kinds = {"upstream_requests": "request", "throttled": "throttled", "cache_hits": "cache_hit",

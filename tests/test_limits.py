@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from earthframe.functions import claims, grids, questions
-from earthframe.operators import catalog, evidence, similarity
+from earthframe.operators import catalog, evidence, gazetteer, similarity
 from earthframe.operators.questions import mentioned_place
 
 
@@ -78,3 +78,16 @@ def test_what_an_image_of_a_place_shows_is_visual(spark):
              "Show the scene of Marina Beach in January 2025 and show the NDWI": False}
     rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", questions.question_flags(F.col("q"))["visual"].alias("v"))
     assert {r.q: r.v for r in rows.collect()} == asked
+
+
+def test_places_that_cannot_be_analysed_are_named(spark):
+    def found(query, osm_type, size):
+        return (query, 1, "13.0", "80.0", ["13.0", str(13.0 + size), "80.0", str(80.0 + size)], query, "leisure", "park", osm_type, query)
+
+    raw = spark.createDataFrame([found("park", "way", 0.01), found("stop", "node", 0.01), found("desert", "relation", 5.0)],
+                                "query string, rank int, lat string, lon string, boundingbox array<string>, display_name string, "
+                                "class string, type string, osm_type string, name string")
+    kept, _ = gazetteer.parse_candidates(raw)
+    asked = spark.createDataFrame([("park",), ("stop",), ("desert",), ("nowhere",)], "query string")
+    reasons = {r.query: r.reason for r in gazetteer.location_reasons(asked, gazetteer.select_candidate(kept)).collect()}
+    assert reasons == {"park": None, "stop": "location_is_point", "desert": "area_too_large", "nowhere": "location_not_found"}
