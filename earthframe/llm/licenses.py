@@ -1,9 +1,11 @@
 """License notices in texts: MinHash bands over overlapping windows retrieve templates, shingle containment verifies them.
 
-For each length of template a text is read in overlapping windows of that many words, an eighth of it apart (each word for short
-ones), so that some window covers seven eighths of any notice. A window and a template are their sets of five-word
-shingles; MinHash values in 16 bands of two retrieve a template of Jaccard similarity 0.6 with a chance above 0.999. The
-retrieved template is verified by exact containment of its shingles in the window and half its length to either side.
+For each length of template, texts are read in overlapping windows of that many shingles, an eighth of it apart (each shingle
+for short ones), so that some window covers seven eighths of any notice. A window and a template are their sets of five-word
+shingles. Eight bands of one MinHash value retrieve a template of Jaccard similarity 0.6 with a chance above 0.999; unlike
+words, shingles of a notice are rare elsewhere, so longer bands aren't needed. MinHash values of all windows come from
+minima over powers of two. The retrieved template is verified by exact containment of its shingles in the window and half its
+length to either side; a text shorter than the window is verified as a whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from earthframe.llm import bytesets as bs
 from earthframe.llm.rows import arrow_map
 
 WORDS = 5
-BANDS, ROWS = 16, 2
+BANDS = 8
 CONTAINMENT = 0.75
 
 #: Identifiers of licenses and their usual notices, in words.
@@ -40,9 +42,9 @@ TEMPLATES = (
 )
 
 _rng = np.random.Generator(np.random.PCG64(60_606))
-_TIMES = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_XOR = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-_PLACE = _rng.integers(0, 2**64, max(WORDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_TIMES = _rng.integers(0, 2**64, BANDS, dtype=np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 2**64, BANDS, dtype=np.uint64)
+_PLACE = _rng.integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
 _MARKS = np.zeros(256, bool)
 _MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
@@ -63,68 +65,75 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return bs.mix(out)
 
 
-def bands(runs: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Band keys of the windows of ``size`` shingles from each of ``starts``."""
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    windows = starts[:, None] + np.arange(size)
-    for k in range(BANDS * ROWS):
-        least = ((runs ^ _XOR[k]) * _TIMES[k])[windows].min(axis=1) if size > 1 else ((runs[starts]) ^ _XOR[k]) * _TIMES[k]
-        out[:, k // ROWS] += bs.mix(least) * _PLACE[k % ROWS]
-    return bs.mix(out + np.arange(BANDS, dtype=np.uint64))
-
-
 class Template(NamedTuple):
     number: int
     license: str
     shingles: np.ndarray
+    minima: np.ndarray  # of each band
+
+    @property
+    def size(self) -> int:
+        return len(self.shingles)
 
 
-def prepare(templates: Sequence[tuple[str, str]]) -> dict[int, tuple[np.ndarray, np.ndarray, list[Template]]]:
-    """By number of shingles: sorted band keys, the template of each, and the templates."""
-    by: dict[int, list[Template]] = {}
+def prepare(templates: Sequence[tuple[str, str]]) -> list[Template]:
+    out = []
     for number, (name, text) in enumerate(templates):
         data = np.frombuffer(text.encode(), np.uint8)
         runs = shingles(word_numbers(data, np.array([0, len(data)]))[0])
         if len(runs):
-            by.setdefault(len(runs), []).append(Template(number, name, runs))
-    out = {}
-    for size, group in by.items():
-        keys = np.concatenate([bands(t.shingles, np.zeros(1, np.int64), size)[0] for t in group])
-        order = np.argsort(keys)
-        out[size] = keys[order], np.repeat(np.arange(len(group)), BANDS)[order], group
+            out.append(Template(number, name, runs, ((runs[:, None] ^ _XOR) * _TIMES).min(axis=0)))
     return out
 
 
-def find(words: np.ndarray, prepared: dict) -> Iterator[tuple[Template, float, int]]:
-    """(template, containment, first word) of the best place of each template in one text."""
-    runs = shingles(words)
-    for size, (keys, owner, group) in prepared.items():
-        if not len(runs):
-            continue
-        window = min(size, len(runs))
-        step = max(1, size // 8)
-        starts = np.unique(np.append(np.arange(0, len(runs) - window + 1, step), len(runs) - window))
-        best: dict[int, tuple[float, int]] = {}
-        if window == 1:  # a window is one shingle: its first band decides
-            key = bands(runs, starts, 1)[:, :1]
-        else:
-            key = np.concatenate([bands(runs, part, window) for part in np.array_split(starts, 1 + len(starts) * window // 100_000)])
-        at = np.minimum(np.searchsorted(keys, key.ravel()), len(keys) - 1)
-        hits = np.flatnonzero(keys[at] == key.ravel())
-        for hit in hits.tolist():
-            place = int(starts[hit // key.shape[1]])
-            slot = int(at[hit])
-            while slot < len(keys) and keys[slot] == key.ravel()[hit]:
-                template = group[owner[slot]]
-                lo, hi = max(0, place - size // 2), place + window + size // 2
-                share = float(np.isin(template.shingles, runs[lo:hi]).mean())
-                if share >= CONTAINMENT:
-                    first = lo + int(np.flatnonzero(np.isin(runs[lo:hi], template.shingles))[0])
-                    if (-share, first) < best.get(owner[slot], (0.0, 0)):
-                        best[owner[slot]] = (-share, first)
-                slot += 1
-        for number, (share, first) in best.items():
-            yield group[number], -share, first
+def retrieve(runs: np.ndarray, text: np.ndarray, templates: list[Template]) -> set[tuple[int, int]]:
+    """(template, first shingle) of the windows that share a band with a template.
+
+    ``text`` numbers the text of each word; windows over two texts are left out.
+    """
+    windows = {}
+    for size in {t.size for t in templates}:
+        start = np.arange(0, len(runs) - size + 1, max(1, size // 8))
+        windows[size] = start[text[start] == text[start + size + WORDS - 2]]
+    found: set[tuple[int, int]] = set()
+    largest = max((size for size, start in windows.items() if len(start)), default=0)
+    for band in range(BANDS if largest else 0):
+        minima = [(runs ^ _XOR[band]) * _TIMES[band]]
+        while 2 ** len(minima) <= largest:
+            half = 2 ** (len(minima) - 1)
+            minima.append(np.minimum(minima[-1][:-half], minima[-1][half:]))
+        for size, start in windows.items():
+            if size == 1 and band or not len(start):
+                continue  # the bands of a single shingle say the same
+            level = size.bit_length() - 1
+            least = np.minimum(minima[level][start], minima[level][start + size - 2 ** level])
+            for number, template in enumerate(templates):
+                if template.size == size:
+                    found.update((number, int(i)) for i in start[least == template.minima[band]])
+    return found
+
+
+def find(words: np.ndarray, count: np.ndarray, templates: list[Template]) -> list[tuple[int, int, str, float, int]]:
+    """(text, template, license, containment, first word) of the best place of each template in each of several texts."""
+    runs, ends = shingles(words), np.cumsum(count)
+    starts = ends - count
+    text = np.repeat(np.arange(len(count)), count)
+    places = {(int(text[i]), number, i) for number, i in retrieve(runs, text, templates)}
+    for number, template in enumerate(templates):
+        # Texts in which no whole window and its neighbour fit.
+        short = np.flatnonzero((count >= WORDS) & (count < template.size + max(1, template.size // 8) + WORDS - 1))
+        places.update((int(i), number, int(starts[i])) for i in short)
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for at, number, place in places:
+        template = templates[number]
+        last = ends[at] - WORDS + 1
+        lo = max(starts[at], place - template.size // 2)
+        hi = min(last, place + template.size + template.size // 2)
+        share = float(np.isin(template.shingles, runs[lo:hi]).mean())
+        if share >= CONTAINMENT:
+            first = int(lo + np.flatnonzero(np.isin(runs[lo:hi], template.shingles))[0] - starts[at])
+            best[at, number] = min(best.get((at, number), (0.0, 0)), (-share, first))
+    return [(at, templates[n].number, templates[n].license, -share, first) for (at, n), (share, first) in sorted(best.items())]
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -138,11 +147,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> D
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in bs.slices(batch):
-            words, count = word_numbers(data, offsets)
-            bounds = np.concatenate([[0], np.cumsum(count)])
             ids = rows.column("doc_id").to_pylist()
-            found = [(ids[i], t.number, t.license, share, first) for i in range(len(ids))
-                     for t, share, first in find(words[bounds[i]:bounds[i + 1]], prepared)]
+            found = [(ids[at], *rest) for at, *rest in find(*word_numbers(data, offsets), prepared)]
             columns = list(zip(*found, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                 columns, (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64()), strict=True)],
