@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from earthframe.llm import exact_dedup, near_dedup, repeats
@@ -155,3 +156,28 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_duplicates(none).count() == 0
     assert near_dedup.near_duplicates(none).count() == 0
     assert repeats.remove_repeats(none).count() == 0
+
+
+def test_merge_does_not_depend_on_batches():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        rows = sorted((int(rng.integers(0, 6)), int(rng.integers(0, 3)), int(rng.integers(0, 5)), 0, int(rng.integers(0, 50)))
+                      for _ in range(n))
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        whole = pa.RecordBatch.from_arrays(
+            [*columns, pa.array([0] * n, pa.int16()), pa.array([0] * n, pa.int16()), pa.array([True] * n)], schema=repeats._TUPLE)
+        cuts = sorted({0, n, *rng.integers(0, n + 1, int(rng.integers(0, 8))).tolist()})
+        out = [tuple(r[c] for c in ("sample", "stretch", "_doc", "place", "first"))
+               for b in repeats._merged(iter([whole.slice(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False)]))
+               for r in b.to_pylist()]
+        stretches = defaultdict(set)
+        for sample, stretch, *_ in rows:
+            stretches[sample].add(stretch)
+        expected, seen = [], set()
+        for sample, stretch, doc, _, place in rows:
+            first = (sample, stretch) not in seen
+            seen.add((sample, stretch))
+            if not first or len(stretches[sample]) > 1:
+                expected.append((sample, stretch, doc, place, first))
+        assert Counter(out) == Counter(expected)
