@@ -119,7 +119,7 @@ def build_index(rows: list, idf: dict[str, float], sizes: dict[int, int]) -> Ind
     bare = {k: sizes.get(k, 0) - sum(v == k for v in label.values()) for k in (0, 1)}
     return Index({f: (number[f], idf[f]) for f in number}, starts, examples, weights, np.array(block_starts),
                  np.array(blocks, np.int64), np.array(maxima), np.array([label[e] for e in ids], np.int64),
-                 np.array(ids, np.int64), (bare[1] + 0.5) / (bare[0] + bare[1] + 1))
+                 np.array(ids, np.int64), (bare[1] + 0.1) / (bare[0] + bare[1] + 1))
 
 
 def nearest(index: Index, query: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
@@ -213,7 +213,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine, toxic).
 
     Null and empty texts, and texts without a feature, get the prior. Without labels of both kinds every text gets the
-    same score. Repeated rows get equal scores. Only the text is scored; an empty table gives an empty result.
+    same score, 0.1 without any. Repeated rows get equal scores. Only the text is scored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels))
