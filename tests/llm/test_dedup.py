@@ -151,6 +151,14 @@ def test_repeats(spark, monkeypatch, large, memory):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == _expected_repeats(ordered)
 
 
+def test_one_of_repeated_rows_keeps_its_text(spark):
+    long, other = " ".join(odd.words(90, 71)), " ".join(odd.words(90, 72))
+    rows = [(1, long), (1, long), (1, long), (2, "before " + other), (None, other), (None, other), (3, " ".join(odd.words(90, 73)))]
+    out = repeats.remove_repeats(odd.documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == _expected_repeats(rows)
+    assert sorted(r.n_removed for r in out if r.doc_id == 1) == [0, len(long), len(long)]
+
+
 def test_empty_tables(spark):
     none = odd.documents(spark, [])
     assert exact_dedup.exact_duplicates(none).count() == 0
