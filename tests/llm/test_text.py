@@ -82,6 +82,27 @@ def test_main_text():
         assert word not in html_text.main_text(plain)
 
 
+LINKS = "".join(f'<div><a href="/{i}">Link to another page {i}</a></div>' for i in range(5))
+TEXT = "Plain sentences of the article that are long enough to surge. "
+
+
+@pytest.mark.parametrize(("html", "held", "left_out"), [
+    (f"<p>{TEXT * 40}</p>{LINKS}<p>Last part of it, less than a fifth as long as the first.</p>", ["Plain", "Last part"], ["Link"]),
+    ("<p>Short page.</p>" + LINKS, ["Short page."], ["Link"]),
+    (f"<article><p>{TEXT}</p>{LINKS}<p>The end.</p>{LINKS}</article>", ["Plain", "The end."], []),
+    (f'<div class="layout with-sidebar has-ads share-enabled"><p>{TEXT}</p></div>', ["Plain"], []),
+    (f'<div class="widget"><article><p>{TEXT}</p><p class="share">Noise</p></article></div>', ["Plain"], ["Noise"]),
+    (f'<form><main><p>{TEXT}</p></main></form>', ["Plain"], []),
+    (f'<article><p>{TEXT}</p></article><div class="related-items"><article>{TEXT.upper()}</article></div>', ["Plain"], ["PLAIN"]),
+    (f'<p>{TEXT}</p><div class="main-sidebar layout">{TEXT.upper()}</div><p id="siteFooter">{TEXT.upper()}', ["Plain"], ["PLAIN"]),
+    ("<article><figure><img><figcaption>What it shows</figcaption></figure><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn></math> says",
+     ["What it shows As x=2 says"], []),
+])
+def test_no_part_of_the_text_is_lost(html, held, left_out):
+    found = html_text.main_text(f"<html><body>{html}</body></html>")
+    assert all(x in found for x in held) and not any(x in found for x in left_out)
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "<!--", "<script>x", "plain words", "<div" * 5000, "<p>" * 20000, "</p>" * 20000,
                                   "<a title=\"" * 2000, "&" * 5000, "<div class=ad>" * 3000 + "x"])
 def test_broken_pages_end(html):
