@@ -131,6 +131,35 @@ def test_licenses(spark):
     assert licenses.scan(odd.documents(spark)).where("doc_id = 61").count() == 1
 
 
+def test_licenses_of_all_kinds(spark):
+    rows = [(1, "words before. All rights reserved. And after"), (2, "all rights"), (3, "// SPDX-License-Identifier: MPL-2.0\nint x;"),
+            (4, "reserved all rights"), (5, "All Rights\nReserved"), (6, "All rights, here reserved")]
+    named = ["BSD-2-Clause", "ISC", "MPL-2.0", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense"]
+    notices = [(n, t) for n, t in licenses.TEMPLATES if n in named]
+    rows += [(10 + i, " ".join([*odd.words(9, i), t, *odd.words(9, 50 + i)])) for i, (_, t) in enumerate(notices)]
+    changed = next(t for n, t in licenses.TEMPLATES if n == "GPL-2.0" and len(t) > 10_000)
+    rows.append((9, " ".join(w for i, w in enumerate(changed.split()) if i % 100)))
+    found = defaultdict(set)
+    for r in licenses.scan(odd.documents(spark, rows)).collect():
+        found[r.doc_id].add(r.license)
+    assert {n for n, _ in notices} == set(named)
+    assert all(n in found[10 + i] for i, (n, _) in enumerate(notices))
+    assert found[1] == found[5] == {"all-rights-reserved"} and found[3] == {"MPL-2.0"} and "GPL-2.0" in found[9]
+    assert not (found[2] or found[4] or found[6])
+
+
+def test_kindred_licenses_are_told_apart(spark):
+    whole = {n: t for n, t in licenses.TEMPLATES if len(t) > 1000}
+    header = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))
+    rows = [(1, "This work is licensed under the GNU General Public License, version 2"), (2, header), (3, header.replace("version 3", "version 2")),
+            (4, whole["BSD-3-Clause"]), (5, whole["GFDL-1.2"]), (6, whole["LGPL-2.1"])]
+    found = defaultdict(set)
+    for r in licenses.scan(odd.documents(spark, rows)).collect():
+        found[r.doc_id].add(r.license)
+    assert found[1] == found[3] == {"GPL-2.0"} and found[2] == {"GPL-3.0"}
+    assert "BSD-2-Clause" not in found[4] and "GFDL-1.3" not in found[5] and "LGPL-2.0" not in found[6]
+
+
 def _tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) + [None]
 
