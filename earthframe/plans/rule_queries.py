@@ -189,13 +189,12 @@ FROM scenes s JOIN requests a ON floor(s.west / 13) = floor(a.aoi_west / 13) AND
  AND NOT (east < aoi_west OR west > aoi_east OR north < aoi_south OR south > aoi_north)
 """)
 def scene_area_pairs(spark, sf):
-    """Footprints against request areas, met on a whole-degree cell, boxes before clipping."""
+    """Footprints against request areas, met on the whole-degree cells they touch, boxes before clipping."""
     box = X.bbox(*[F.col(e) for e in ("west", "south", "east", "north")])
-    scenes = V.scenes(spark, sf).where(F.col("west").isNotNull()).select("id", "west", "south", "east", "north", F.floor("west").alias("cell"),
+    scenes = V.scenes(spark, sf).where(F.col("west").isNotNull()).select("id", "west", "south", "east", "north",
              FP.box_polygons(box).alias("polygons"))
     areas = V.requests(spark, sf).select(
-        "request_id", *[f"aoi_{e}" for e in ("west", "south", "east", "north")],
-        F.floor("aoi_west").alias("cell"))
+        "request_id", *[f"aoi_{e}" for e in ("west", "south", "east", "north")])
     return S.aoi_coverage(scenes, areas).select(
         "id", "request_id", F.round("fraction", 6).alias("fraction"))
 
