@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earthframe.llm import exact_dedup, html_text, licenses, mixing, nearest_vectors, suffix_tree_lm, toxicity
+from earthframe.llm import (exact_dedup, html_text, lexical_search, licenses, mixing, nearest_vectors, secret_tags, suffix_tree_lm, toxicity,
+                            whitening)
 from earthframe.llm.near_dedup import near_duplicates
 from earthframe.llm.packing import pack
 from earthframe.llm.repeats import remove_repeats
@@ -60,10 +61,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_tags.scan(_read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and their SQL."""
     queries = (op1_exact_dedup, op2_toxicity, op3_html_extraction, op4_mixing,
                op5_minhash_near_dedup, op6_license_scan, op7_suffix_tree_lm, op8_nearest_vectors,
-               op9_suffix_array_dedup, op10_packing)
+               op9_suffix_array_dedup, op10_packing, op11_lexical_search, op12_secret_scan, op13_whitening)
     return {q.__name__: q for q in queries}, {
-        "op1_exact_dedup": exact_dedup.OP1_SQL, "op4_mixing": mixing.OP4_SQL, "op8_nearest_vectors": nearest_vectors.OP8_SQL}
+        "op1_exact_dedup": exact_dedup.OP1_SQL, "op4_mixing": mixing.OP4_SQL, "op8_nearest_vectors": nearest_vectors.OP8_SQL,
+        "op11_lexical_search": lexical_search.OP11_SQL}
