@@ -26,10 +26,12 @@ from earthframe.llm.rows import keyed, row_key
 #: Documents of a block and queries of a block at most.
 BLOCK, QUERIES = 4096, 128
 #: Bits of a signature for each pair that it holds, rounded up to a power of two, and bits that a pair sets.
-BITS_A_PAIR, PROBES = 12, 4
+BITS_A_PAIR, PROBES = 16, 6
 #: Largest frequency of each class; the last one is open.
 CLASSES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256])
 TOP = 50
+#: Documents of the highest bounds that a query's first pass scores, in multiples of those asked for.
+FIRST = 3
 #: Fixed values of the ranking formula.
 BASE_PART, LENGTH_PART, ONE, HALF = 50, 50, 1_000_000_000, 20
 
@@ -60,8 +62,9 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _probes(pairs: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Signature bits of hashed pairs, each probe from its own part of the hash."""
-    return [((pairs >> np.uint64(15 * p)) % np.uint64(bits)).astype(np.int64) for p in range(PROBES)]
+    """Signature bits of hashed pairs: steps from the lower half of the hash, as wide as its upper half."""
+    first, step = pairs & np.uint64(2**32 - 1), (pairs >> np.uint64(32)) | np.uint64(1)
+    return [((first + step * np.uint64(p)) % np.uint64(bits)).astype(np.int64) for p in range(PROBES)]
 
 
 def _pair(hashes: np.ndarray, cls: np.ndarray | int) -> np.ndarray:
@@ -160,14 +163,15 @@ def _bounds(block: dict, queries: dict, mean: tuple[int, int]) -> Iterator[tuple
     bound = np.zeros((len(queries["stops"]), docs))
     starts = np.concatenate([[0], queries["stops"][:-1]])
     for cls in range(len(CLASSES) + 1):
-        if not (block["classes"] >> cls & 1).any():
+        holds = (block["classes"] >> cls & 1).astype(bool)
+        if not holds.any():
             continue
         places = _probes(_pair(terms, cls), block["bits"])
         found = slices[places[0]]
         for place in places[1:]:
             found = found & slices[place]
         some = found.any(axis=1)
-        most = part_of(np.minimum(CLASSES[cls], block["largest"]) if cls < len(CLASSES) else block["largest"], m)
+        most = part_of(np.minimum(CLASSES[cls], block["largest"]) if cls < len(CLASSES) else block["largest"], m) * holds
         dense = np.unpackbits(found[some], axis=1, count=docs)
         row = np.where(some, np.cumsum(some) - 1, -1)[at]
         for q, (a, b) in enumerate(zip(starts.tolist(), queries["stops"].tolist(), strict=True)):
@@ -274,7 +278,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     mean = (n, length)
     none = weights.select("query", F.lit(0).cast("bigint").alias("floor")).limit(0)
     near = Window.partitionBy("query").orderBy(F.desc("bound"), "_doc", "_tag")
-    first = saved(_meet(signatures, _packed(weights, none), mean, k).withColumn("place", F.row_number().over(near)).where(F.col("place") <= k))
+    first = _meet(signatures, _packed(weights, none), mean, FIRST * k)
+    first = saved(first.withColumn("place", F.row_number().over(near)).where(F.col("place") <= FIRST * k))
     known = saved(_exact(texts, first, spread, mean))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "_doc", "_tag").rowsBetween(Window.unboundedPreceding, 0)
     floors = (known.withColumn("reached", F.sum("copies").over(best)).where(F.col("reached") >= k).groupBy("query").agg(F.max("score").alias("floor")))
