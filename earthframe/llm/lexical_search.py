@@ -212,14 +212,16 @@ def _meet(signatures: DataFrame, queries: DataFrame, mean: tuple[int, int], k: i
 
 def _exact(texts: DataFrame, pairs: DataFrame, weights: DataFrame, mean: tuple[int, int]) -> DataFrame:
     """(query, _doc, _tag, copies, score): exact scores above 0 of pairs (query, _doc, _tag), from whole texts and terms."""
-    wanted = pairs.select("_doc", "_tag").distinct()
-    rows = texts.join(wanted, ["_doc", "_tag"], "left_semi").groupBy("_doc", "_tag").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    terms = rows.select("_doc", "_tag", "copies", terms_of(F.col("text")).alias("terms")).withColumn("n", F.size("terms").cast("bigint"))
+    rows = texts.join(pairs.select("_doc", "_tag").distinct(), ["_doc", "_tag"], "left_semi")
+    copies = rows.groupBy("_doc", "_tag").agg(F.count("*").alias("copies"))
+    terms = rows.select("_doc", "_tag", terms_of(F.col("text")).alias("terms")).withColumn("n", F.size("terms").cast("bigint"))
     m = F.lit(100 - BASE_PART) + F.expr(f"({LENGTH_PART}L * n * {mean[0]}L) div {mean[1]}L")
-    counted = (terms.select("_doc", "_tag", "copies", m.alias("m"), F.explode("terms").alias("term"))
-               .groupBy("_doc", "_tag", "copies", "m", "term").agg(F.count("*").alias("tf")))
+    counted = (terms.select("_doc", "_tag", m.alias("m"), F.explode("terms").alias("term"))
+               .join(weights.select("term").distinct(), "term", "left_semi").groupBy("_doc", "_tag", "m", "term").agg(F.count("*").alias("seen")))
+    # repeated rows have one key and one text, so each of them has its share of what is seen
+    own = pairs.select("query", "_doc", "_tag").distinct().join(copies, ["_doc", "_tag"])
     part = F.expr(f"weight * (({ONE}L * tf) div (1000L * tf + {HALF}L * m))")
-    return (counted.join(weights, "term").join(pairs.select("query", "_doc", "_tag"), ["query", "_doc", "_tag"], "left_semi")
+    return (counted.join(own, ["_doc", "_tag"]).join(weights, ["query", "term"]).withColumn("tf", F.expr("seen div copies"))
             .groupBy("query", "_doc", "_tag", "copies").agg(F.sum(part).alias("score")).where("score > 0"))
 
 

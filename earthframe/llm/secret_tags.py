@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "crf")
 #: Documents that are looked at for training (in expectation), and windows with and without a find that the field is fitted on.
 TRAIN_DOCUMENTS, FOUND_WINDOWS, PLAIN_WINDOWS = 1 << 16, 1024, 2048
 #: Tokens of a training window; rounds and rate of the fit; weight of the squared weights.
-WINDOW, ROUNDS, RATE, DAMPING = 24, 60, 0.2, 1.0
+WINDOW, ROUNDS, RATE, DAMPING = 24, 60, 0.2, 0.3
 #: Tokens of a chunk in decoding.
 CHUNK = 64
 OUT, BEGIN, INSIDE = 0, 1, 2
