@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
@@ -42,8 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def saved(df: DataFrame, *partition_by: str, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, as ``schema`` where one is given.
 
     The shuffle files behind it are dropped once it is written: nothing reads them any more.
     """
@@ -56,4 +57,4 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

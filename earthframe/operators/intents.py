@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from earthframe.functions.ngrams import char_wb_ngrams, word_ngrams
-from earthframe.lineage import cut
+from earthframe.functions.rules import let
+from earthframe.lineage import cut, saved
 
 # The closed label set, training grid and calibration rules.
 INTENT_LABELS = ("NDVI", "NDWI", "NDBI", "SAR_BACKSCATTER", "TEMPORAL_NDWI", "TRUE_COLOR",
@@ -22,6 +27,11 @@ THRESHOLD_GRID = tuple(round(0.30 + 0.05 * i, 2) for i in range(14))
 TARGET_PRECISION, THRESHOLD_FLOOR = 0.99, 0.90
 MIN_DF = {"word": 1, "char": 2}
 
+#: Training texts that the models of one part are fitted on at most.
+FIT_TEXTS = 2048
+#: Texts of a scoring task.
+SCORE_TEXTS = 1024
+
 
 def explode_grams(texts: DataFrame, text: str = "text") -> DataFrame:
     """(id, block, gram, tf): word 1-2-grams and char_wb 2-5-grams with their counts."""
@@ -34,7 +44,7 @@ def explode_grams(texts: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("id", "block", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_idf(grams: DataFrame, documents: int) -> DataFrame:
+def fit_idf(grams: DataFrame, documents: int | Column) -> DataFrame:
     """(block, gram, df, idf) of grams that reach their block's minimum frequency.
 
     Smoothed ``ln((1+n)/(1+df)) + 1``. One row per (id, gram) comes in, so the document
@@ -55,60 +65,85 @@ def tfidf_weights(grams: DataFrame, idf: DataFrame) -> DataFrame:
         "id", "block", "gram", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
-def index_vocabulary(idf: DataFrame) -> tuple[DataFrame, int]:
-    """(vocabulary with dense ``idx``, size) without ordering it in one task.
+def part_vocabulary(grams: DataFrame, roles: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """((block, gram, idx, idfs), size): one vocabulary of all training texts with an idf for each training part.
 
-    Partitions are sorted ranges; only their sizes, one number each, reach the driver.
+    ``roles``: id, fold; a null fold is no training text. Part ``p`` trains on the texts of all folds but ``p``, and the last of the
+    ``parts + 1`` on every training text. Leaving a fold out is a subtraction, so one count serves all parts. A gram
+    that a part sees less often than its block asks for has a null there: it weighs nothing, as if it were not in the
+    part's vocabulary. Places are dense and follow (block, gram); they come from the sizes of sorted ranges, not from one task.
     """
-    placed = cut(
-        idf.repartitionByRange("block", "gram").sortWithinPartitions("block", "gram")
-        .select("block", "gram", "idf", F.monotonically_increasing_id().alias("_mid")))
+    trained = roles.where("fold IS NOT NULL").select("id", "fold")
+    sizes = trained.agg(F.count("*"), *[F.count_if(F.col("fold") == p) for p in range(parts)]).first()
+    counts = grams.join(trained, "id").groupBy("block", "gram").agg(
+        F.count("*").alias("df"), *[F.count_if(F.col("fold") == p).alias(f"_{p}") for p in range(parts)])
+    least = F.when(F.col("block") == "word", MIN_DF["word"]).otherwise(MIN_DF["char"])
+
+    def idf(df: Column, documents: int) -> Column:
+        return F.when(df >= least, F.log((F.lit(1.0) + documents) / (F.lit(1.0) + df)) + 1.0)
+
+    idfs = [idf(F.col("df") - F.col(f"_{p}"), sizes[0] - sizes[p + 1]) for p in range(parts)]
+    placed = saved(
+        counts.where(F.col("df") >= least).select("block", "gram", F.array(*idfs, idf(F.col("df"), sizes[0])).alias("idfs"))
+        .repartitionByRange("block", "gram").sortWithinPartitions("block", "gram").withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", 33)
-    sizes = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    offsets, total = [], 0
-    for row in sizes:
-        offsets += [F.lit(row["p"]), F.lit(total)]
-        total += row["n"]
-    if not offsets:
-        return placed.withColumn("idx", F.lit(0)).drop("_mid"), 0
-    start = F.element_at(F.create_map(*offsets), part)
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("idx", (start + local).cast("int")).drop("_mid"), total
-
-
-@F.udf(VectorUDT())
-def _sparse(size: int, entries: list) -> object:
-    return Vectors.sparse(size, [(e["idx"], e["weight"]) for e in entries])
-
-
-def assemble(weights: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
-    """(id, features): the one step that leaves columns for an ML vector."""
-    rows = weights.join(vocabulary.select("block", "gram", "idx"), ["block", "gram"])
-    return rows.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("entries")).select(
-        "id", _sparse(F.lit(size), "entries").alias("features"))
-
-
-def intent_features(train: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(train features, other features, size); the vocabulary comes from ``train`` only."""
-    grams = cut(explode_grams(train))
-    vocabulary, size = index_vocabulary(fit_idf(grams, train.count()))
-    def vectors(g: DataFrame) -> DataFrame:
-        return assemble(tfidf_weights(g, vocabulary.select("block", "gram", "idf")), vocabulary, size)
-
-    return vectors(grams), vectors(explode_grams(others)), size
-
-
-def fit_intent(features: DataFrame, labels: Sequence[str], c: float,
-               max_iter: int = 10_000) -> LogisticRegressionModel:
-    """Multinomial logistic regression with an L2 penalty of 1/(C n), fitted until it settles."""
-    order = {label: i for i, label in enumerate(labels)}
-    index = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(float(v)))])
-    data = cut(features.withColumn("target", F.element_at(index, F.col("label"))).select(
-        "features", "target"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # one row a range
+    idx = F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(starts, "_part").select("block", "gram", "idfs", idx.cast("int").alias("idx")), placed.count()
+
+
+def part_features(grams: DataFrame, roles: DataFrame, parts: int = 0) -> DataFrame:
+    """``roles`` with a feature vector ``f0`` .. for each training part of :func:`part_vocabulary`.
+
+    A vector holds ``(1 + ln tf) idf`` of each gram, of unit length in each block. Vectors are put together from columns: their
+    fields are written as the struct that a vector is stored as, and read back as vectors.
+    """
+    vocabulary, size = part_vocabulary(grams, roles, parts)
+    damped = F.lit(1.0) + F.log(F.col("tf").cast("double"))
+    entries = (grams.join(vocabulary, ["block", "gram"])
+               .select("id", F.struct("idx", (F.col("block") == "word").alias("word"), F.transform("idfs", lambda x: x * damped).alias("w")).alias("e"))
+               .groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("entries")))
+
+    def vector(p: int) -> Column:
+        def unit(mine: Column) -> Column:
+            def norm(word: bool) -> Column:
+                return F.sqrt(F.aggregate(mine, F.lit(0.0), lambda a, e: a + F.when(e["word"] == word, e["w"] * e["w"]).otherwise(0.0)))
+
+            return let(F.struct(norm(True).alias("word"), norm(False).alias("char")), lambda n: F.struct(
+                F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform(mine, lambda e: e["idx"]).alias("indices"),
+                F.transform(mine, lambda e: e["w"] / F.when(e["word"], n["word"]).otherwise(n["char"])).alias("values")))
+
+        held = F.filter("entries", lambda e: F.get(e["w"], F.lit(p)).isNotNull())
+        return let(F.transform(held, lambda e: F.struct(e["idx"], e["word"], F.get(e["w"], F.lit(p)).alias("w"))), unit)
+
+    filled = roles.join(entries, "id", "left").withColumn("entries", F.coalesce("entries", F.expr(
+        "CAST(array() AS array<struct<idx: int, word: boolean, w: array<double>>>)")))
+    out = filled.select(*roles.columns, *[vector(p).alias(f"f{p}") for p in range(parts + 1)])
+    schema = StructType([StructField(f.name, VectorUDT() if f.name in {f"f{p}" for p in range(parts + 1)} else f.dataType) for f in out.schema])
+    return saved(out, schema=schema)
+
+
+def intent_features(train: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(train features, other features); the vocabulary comes from ``train`` only. Ids are unique over both."""
+    roles = train.select("id", F.lit(0).alias("fold")).unionByName(others.select("id", F.lit(None).cast("int").alias("fold")))
+    grams = cut(explode_grams(train.select("id", "text").unionByName(others.select("id", "text"))))
+    both = part_features(grams, roles).withColumnRenamed("f0", "features")
+    return both.where("fold IS NOT NULL").drop("fold"), both.where("fold IS NULL").drop("fold")
+
+
+def fit_intent(features: DataFrame, labels: Sequence[str], c: float, max_iter: int = 10_000, column: str = "features",
+               tol: float = 1e-5) -> LogisticRegressionModel:
+    """Multinomial logistic regression with an L2 penalty of 1/(C n), fitted until it settles.
+
+    ``features``: label and the vectors of ``column``, read once for each step of the fit.
+    """
+    index = F.create_map(*[x for i, k in enumerate(labels) for x in (F.lit(k), F.lit(float(i)))])
+    data = features.select(F.col(column).alias("features"), F.element_at(index, F.col("label")).alias("target"))
     return LogisticRegression(
-        featuresCol="features", labelCol="target", family="multinomial", elasticNetParam=0.0,
-        standardization=False, regParam=1.0 / (c * data.count()), maxIter=max_iter, tol=1e-4).fit(data)
+        featuresCol="features", labelCol="target", family="multinomial", elasticNetParam=0.0, standardization=False,
+        regParam=1.0 / (c * data.count()), maxIter=max_iter, tol=tol).fit(data)
 
 
 def class_probabilities(features: DataFrame, model: LogisticRegressionModel) -> DataFrame:
@@ -192,31 +227,175 @@ def fold_families(df: DataFrame, seed: str, k: int = 5) -> DataFrame:
                                           "family").select("id", "fold")
 
 
-def grouped_cv(df: DataFrame, labels: Sequence[str], seed: str, c_grid: Sequence[float] = C_GRID,
-               k: int = 5) -> DataFrame:
-    """(c, id, label, predicted, confidence): out-of-fold predictions per C.
+def part_entries(grams: DataFrame, roles: DataFrame, parts: int = 0) -> DataFrame:
+    """(part, id, trains, word, idx, x): the grams of each text as every part that uses it weighs them, before scaling.
+
+    Training texts are in all parts, and train in those that do not leave out their fold; others are in the last part only.
+    """
+    vocabulary, _ = part_vocabulary(grams, roles, parts)
+    damped = F.lit(1.0) + F.log(F.col("tf").cast("double"))
+    rows = grams.join(roles.select("id", "fold"), "id").join(vocabulary, ["block", "gram"])
+    each = rows.select("id", "fold", (F.col("block") == "word").alias("word"), "idx", damped.alias("damped"), F.posexplode("idfs").alias("part", "idf"))
+    trains = F.col("fold").isNotNull() & ((F.col("part") == parts) | (F.col("part") != F.col("fold")))
+    used = each.where((F.col("part") == parts) | (F.col("fold").isNotNull())).where("idf IS NOT NULL")
+    return saved(used.select("part", "id", F.coalesce(trains, F.lit(False)).alias("trains"), "word", "idx", (F.col("damped") * F.col("idf")).alias("x")))
+
+
+def softmax(scores: np.ndarray) -> np.ndarray:
+    shifted = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return shifted / shifted.sum(axis=1, keepdims=True)
+
+
+def fit_kernel(kernel: np.ndarray, truth: np.ndarray, c: float, start: np.ndarray | None = None,
+               rounds: int = 1000, settled: float = 1e-8) -> np.ndarray:
+    """A and, as the last row, b of the multinomial logistic model whose scores are ``kernel @ A + b``.
 
-    ``df``: id, label, text, family. Features are fitted inside each training fold.
+    Minimises ``c * loss + |W|^2 / 2`` over coefficients W = X' A and free intercepts, where ``kernel`` is X X' and ``truth`` one
+    row of indicators a text. The steps are those of L-BFGS on W and b: a state is kept with its product by the kernel, so
+    their inner products are sums over texts. Ends when the slope is below ``settled`` times c for each text, on average.
     """
-    data = cut(df.join(fold_families(df, seed, k), "id"))
-    parts = []
-    for fold in range(k):
-        train = data.where(F.col("fold") != fold)
-        held = data.where(F.col("fold") == fold)
-        if held.isEmpty() or train.isEmpty():
-            continue
-        fit_on, score_on, _ = intent_features(train, held)
-        fit_on, score_on = cut(fit_on.join(train.select("id", "label"), "id")), cut(score_on)
+    texts = len(truth)
+
+    def lifted(at: np.ndarray) -> np.ndarray:
+        """(2, texts + 1, labels): a state, and its product by the kernel beside its intercepts."""
+        return np.stack([at, np.vstack([kernel @ at[:-1], at[-1:]])])
+
+    def inner(u: np.ndarray, v: np.ndarray) -> float:
+        return float((u[0] * v[1]).sum())
+
+    def value(at: np.ndarray) -> tuple[float, np.ndarray]:
+        scores = at[1, :-1] + at[1, -1]
+        top = scores.max(axis=1)
+        loss = (top + np.log(np.exp(scores - top[:, None]).sum(axis=1)) - (scores * truth).sum(axis=1)).sum()
+        gap = c * (softmax(scores) - truth)
+        return c * loss + 0.5 * float((at[0, :-1] * at[1, :-1]).sum()), lifted(np.vstack([gap + at[0, :-1], gap.sum(axis=0)]))
+
+    at = lifted(np.zeros((texts + 1, truth.shape[1])) if start is None else start)
+    cost, slope = value(at)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        length = inner(slope, slope) ** 0.5
+        if length <= settled * c * texts:
+            break
+        way, kept = -slope, []
+        for move, turn, curve in reversed(past):
+            kept.append(inner(move, way) / curve)
+            way = way - kept[-1] * turn
+        if past:
+            way = way * (past[-1][2] / inner(past[-1][1], past[-1][1]))
+        for (move, turn, curve), share in zip(past, reversed(kept), strict=True):
+            way = way + (share - inner(turn, way) / curve) * move
+        fall, step = inner(slope, way), 1.0 if past else min(1.0, 1 / length)
+        new, new_slope = value(at + step * way)
+        while new > cost + 1e-4 * step * fall and step > 1e-12:
+            step /= 2
+            new, new_slope = value(at + step * way)
+        if step <= 1e-12:
+            break
+        move, turn = step * way, new_slope - slope
+        curve = inner(move, turn)
+        if curve > 1e-300:
+            past = [*past[-9:], (move, turn, curve)]
+        at, cost, slope = at + move, new, new_slope
+    return at[0]
+
+
+def fit_parts(entries: DataFrame, marks: DataFrame, labels: Sequence[str], c_grid: Sequence[float] = C_GRID) -> DataFrame:
+    """(part, idx, weights): coefficients of the models of every part, for each C of the grid and label in turn; idx -1 holds intercepts.
+
+    ``marks``: id, label. One task fits the models of one part, each C from where the smaller one ended. It reads FIT_TEXTS training
+    texts at most, those of the smallest hashes; the parts are fitted side by side.
+    """
+    index = F.create_map(*[x for i, k in enumerate(labels) for x in (F.lit(k), F.lit(i))])
+    texts = entries.where("trains").select("part", "id").distinct().join(marks.select("id", F.element_at(index, F.col("label")).alias("target")), "id")
+    first = Window.partitionBy("part").orderBy(F.xxhash64("id"), "id")
+    chosen = texts.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= FIT_TEXTS).drop("_place")
+    rows = entries.where("trains").join(chosen, ["part", "id"]).select("part", "id", "target", "word", "idx", "x")
+
+    def solve(table: pa.Table) -> pa.Table:
+        ids, row = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        word, x, target = (table.column(n).to_numpy() for n in ("word", "x", "target"))
+        places, column = np.unique(table.column("idx").to_numpy(), return_inverse=True)
+        truth = np.zeros((len(ids), len(labels)))
+        truth[row, target] = 1.0
+        block = row * 2 + word
+        x = x / np.sqrt(np.bincount(block, x * x, 2 * len(ids)))[block]
+        order = np.argsort(row, kind="stable")
+        row, column, x = row[order], column[order], x[order]
+        at = np.searchsorted(row, np.arange(len(ids) + 1))
+        kernel, spread = np.zeros((len(ids), len(ids))), np.zeros(len(places))
+        for i in range(len(ids)):
+            mine = column[at[i]:at[i + 1]]
+            spread[mine] = x[at[i]:at[i + 1]]
+            kernel[i] = np.bincount(row, x * spread[column], len(ids))
+            spread[mine] = 0.0
+        weights, fitted = [], None
         for c in c_grid:
-            model = fit_intent(fit_on, labels, c)
-            scored = score_intent(score_on, model, labels, 0.0).join(
-                held.select("id", "label"), "id")
-            parts.append(scored.select(
-                F.lit(float(c)).alias("c"), "id", "label", "predicted", "confidence"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            fitted = fit_kernel(kernel, truth, c, fitted)
+            coefficients = [np.bincount(column, x * fitted[row, j], len(places)) for j in range(len(labels))]
+            weights += [np.append(w, b) for w, b in zip(coefficients, fitted[-1], strict=True)]
+        flat = np.stack(weights, axis=1)
+        offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
+        return pa.table({"part": pa.array(np.full(len(flat), table.column("part")[0].as_py(), np.int32)), "idx": pa.array(np.append(places, -1).astype(np.int32)),
+                         "weights": pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))})
+
+    return saved(rows.groupBy("part").applyInArrow(solve, "part int, idx int, weights array<double>"))
+
+
+def score_parts(entries: DataFrame, texts: DataFrame, models: DataFrame, labels: Sequence[str], c_grid: Sequence[float] = C_GRID) -> DataFrame:
+    """(part, id, c, probabilities, predicted, confidence) of ``texts`` (part, id) by the models of :func:`fit_parts`.
+
+    A text without known grams is scored by the intercepts; a part without a model scores nothing. The texts of a part are dealt
+    into groups of about SCORE_TEXTS, each of which meets the part's models.
+    """
+    size = len(labels) * len(c_grid)
+    groups = texts.groupBy("part").agg(F.ceil(F.count("*") / SCORE_TEXTS).cast("int").alias("groups"))
+    dealt = texts.select("part", "id").join(groups, "part").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")).drop("groups")
+    known = entries.select("part", "id", "word", "idx", "x").join(dealt, ["part", "id"])
+    marks = dealt.select("part", "id", F.lit(True).alias("word"), F.lit(-1).alias("idx"), F.lit(0.0).alias("x"), "group")  # every text once
+    right = models.join(groups, "part").select("part", "idx", "weights", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("c", pa.float64()), ("probabilities", pa.list_(pa.float64()))])
+
+    def solve(rows: pa.Table, fitted: pa.Table) -> pa.Table:
+        if not rows.num_rows or not fitted.num_rows:
+            return schema.empty_table()
+        fitted = fitted.sort_by("idx")
+        places = fitted.column("idx").to_numpy()
+        weights = fitted.column("weights").combine_chunks().flatten().to_numpy().reshape(len(places), size)
+        ids, row = np.unique(rows.column("id").to_numpy(), return_inverse=True)
+        word, x, idx = (rows.column(n).to_numpy() for n in ("word", "x", "idx"))
+        block = row * 2 + word
+        norm = np.sqrt(np.bincount(block, x * x, 2 * len(ids)))[block]
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        at = np.minimum(np.searchsorted(places, idx), len(places) - 1)
+        seen = (places[at] == idx) & (idx >= 0)
+        row, at, x = row[seen], at[seen], x[seen]
+        scores = np.stack([np.bincount(row, x * weights[at, j], len(ids)) for j in range(size)], axis=1) + weights[0]
+        shares = np.concatenate([softmax(scores[:, i * len(labels):(i + 1) * len(labels)]) for i in range(len(c_grid))])
+        offsets = pa.array(np.arange(len(shares) + 1, dtype=np.int32) * len(labels))
+        return pa.table([pa.array(np.full(len(shares), rows.column("part")[0].as_py(), np.int32)), pa.array(np.tile(ids, len(c_grid))),
+                         pa.array(np.repeat(np.array(c_grid, np.float64), len(ids))), pa.ListArray.from_arrays(offsets, pa.array(shares.ravel()))],
+                        schema=schema)
+
+    scored = known.unionByName(marks).groupBy("part", "group").cogroup(right.groupBy("part", "group")).applyInArrow(
+        solve, "part int, id bigint, c double, probabilities array<double>")
+    return scored.select("*", predicted_label(F.col("probabilities"), labels).alias("predicted"), F.array_max("probabilities").alias("confidence"))
+
+
+def grouped_cv(df: DataFrame, labels: Sequence[str], seed: str, c_grid: Sequence[float] = C_GRID, k: int = 5) -> DataFrame:
+    """(c, id, label, predicted, confidence): each text of ``df`` (id, label, text, family) by the models that leave its fold out.
+
+    Vocabulary and idf are those of the training folds. A fold whose texts are all there are has no predictions.
+    """
+    roles = saved(df.select("id", "label").join(fold_families(df, seed, k), "id"))
+    entries = part_entries(cut(explode_grams(df)), roles, k)
+    return out_of_fold(entries, roles, fit_parts(entries, roles, labels, c_grid), labels, c_grid)
+
+
+def out_of_fold(entries: DataFrame, roles: DataFrame, models: DataFrame, labels: Sequence[str], c_grid: Sequence[float] = C_GRID) -> DataFrame:
+    held = roles.where("fold IS NOT NULL").select(F.col("fold").alias("part"), "id")
+    return score_parts(entries, held, models, labels, c_grid).join(roles.select("id", "label"), "id").select(
+        "c", "id", "label", "predicted", "confidence")
 
 
 def best_parameter(scores: DataFrame) -> DataFrame:
@@ -225,6 +404,48 @@ def best_parameter(scores: DataFrame) -> DataFrame:
         F.round("score", 6).alias("s"), (-F.col("c")).alias("c"))).alias("best_c"))
 
 
+class Training(NamedTuple):
+    """What a training run leaves: its choices, its model and its predictions."""
+
+    splits: DataFrame  # id, family, split
+    folded: DataFrame  # c, id, label, predicted, confidence: out of fold, on the training texts
+    scores: DataFrame  # c, score
+    best_c: float
+    models: DataFrame  # part, idx, weights; the last part is fitted on all training texts
+    calibration: DataFrame  # threshold table of the out-of-fold and validation predictions
+    threshold: float
+    scored: DataFrame  # split, id, label, probabilities, predicted, confidence, acted_on; validation and test
+
+
+def train_intents(texts: DataFrame, families: DataFrame, labels: Sequence[str], seed: str,
+                  c_grid: Sequence[float] = C_GRID, k: int = 5) -> Training:
+    """Split by families, choose C by grouped cross-validation on the training texts, fit, calibrate, and score the rest once.
+
+    ``texts``: id, label, text (masked, as the classifier reads it); ``families``: id, family. Nothing of the validation and
+    test texts enters vocabulary, idf, folds or fits; the test texts take no part in the threshold either. To the driver come the
+    best C and the threshold.
+    """
+    splits = saved(split_families(texts.join(families, "id"), seed))
+    rows = saved(texts.join(splits, "id"))
+    folds = fold_families(rows.where("split = 'train'"), seed, k)
+    roles = rows.select("id", "label", "split").join(folds, "id", "left")
+    roles = saved(roles)
+    entries = part_entries(cut(explode_grams(rows)), roles, k)
+    models = fit_parts(entries, roles, labels, c_grid)
+    folded = saved(out_of_fold(entries, roles, models, labels, c_grid))
+    scores = saved(classification_metrics(folded, labels, ["c"]).select("c", F.col("macro_f1").alias("score")))
+    best_c = best_parameter(scores).first()["best_c"] or min(c_grid)
+    rest = roles.where("fold IS NULL").select(F.lit(k).alias("part"), "split", "id", "label")
+    scored = saved(score_parts(entries, rest, models, labels, c_grid).where(F.col("c") == best_c).join(
+        rest.select("id", "split", "label"), "id").select("split", "id", "label", "probabilities", "predicted", "confidence"))
+    judged = folded.where(F.col("c") == best_c).select("label", "predicted", "confidence").unionByName(
+        scored.where("split = 'validation'").select("label", "predicted", "confidence"))
+    calibration = saved(threshold_table(judged))
+    threshold = choose_threshold(calibration).first()["threshold"] or THRESHOLD_FLOOR
+    return Training(splits, folded, scores, best_c, models, calibration, threshold,
+                    scored.withColumn("acted_on", F.col("confidence") >= threshold))
+
+
 # --------------------------------------------------------------------------- #
 # Evaluation
 # --------------------------------------------------------------------------- #
@@ -332,3 +553,13 @@ def latency_summary(df: DataFrame, by: Sequence[str] = (), value: str = "ms") ->
 def evaluate_sets(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Metrics of several (set, model) predictions in one job: before and after, side by side."""
     return classification_metrics(scored, labels, ["set", "model"])
+
+
+def before_after(metrics: DataFrame, before: str, after: str) -> DataFrame:
+    """(set, metric, before, after, change): the figures of two models on each set that both have scored."""
+    names = ("count", "accuracy", "macro_f1", "weighted_f1")
+    rows = metrics.select("set", "model", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m"))
+    value = lambda model: F.max(F.when(F.col("model") == model, F.col("m.value")))
+    return rows.groupBy("set", F.col("m.metric").alias("metric")).agg(value(before).alias("before"), value(after).alias("after")).where(
+        "before IS NOT NULL AND after IS NOT NULL").withColumn("change", F.col("after") - F.col("before"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earthframe.functions import ngrams as N
+from earthframe.lineage import saved
 from earthframe.operators import intents as M
 from earthframe.operators import similarity as S
 from earthframe.plans.registry import query, sql_view, table
@@ -35,60 +36,64 @@ def char_ngrams(spark, sf):
         F.col("item_id").alias("id"), F.size(N.char_wb_ngrams(F.col("text"))).cast("bigint").alias("grams"))
 
 
-sql_view("label_words", r"""
-SELECT id, gram, count(*) AS tf FROM (
+sql_view("label_grams", r"""
+SELECT id, 'word' AS block, gram, count(*) AS tf FROM (
  SELECT id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (
   SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM labelled_text)) GROUP BY ALL
+UNION ALL
+SELECT id, 'char' AS block, substr(p, i, n) AS gram, count(*) AS tf FROM (
+ SELECT id, p, n, unnest(range(1, len(p) - n + 2)) AS i FROM (
+  SELECT id, ' ' || w || ' ' AS p, unnest(range(2, least(5, len(w) + 2) + 1)) AS n FROM (
+   SELECT id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM labelled_text) WHERE w <> '')) GROUP BY ALL
+""")
+sql_view("label_idf", """
+SELECT block, gram, count(*) AS df, ln((1 + (SELECT count(*) FROM labelled_text)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM label_grams
+GROUP BY block, gram HAVING count(*) >= CASE block WHEN 'word' THEN 1 ELSE 2 END
 """)
 
 
-@query("a23_document_frequency", """
-SELECT 'word' AS block, gram, count(*) AS df, round(ln((1 + (SELECT count(*) FROM labelled_text)) / CAST(1 + count(*) AS DOUBLE)) + 1, 6) AS idf
-FROM label_words GROUP BY gram
-""")
+@query("a23_document_frequency", "SELECT block, gram, df, round(idf, 6) AS idf FROM label_idf")
 def document_frequency(spark, sf):
     texts = labelled_text(spark, sf)
-    idf = M.fit_idf(M.explode_grams(texts), texts.count())
-    return idf.where(F.col("block") == "word").withColumn("idf", F.round("idf", 6))
+    return M.fit_idf(M.explode_grams(texts), F.lit(texts.count())).withColumn("idf", F.round("idf", 6))
 
 
 @query("f16_m1_tfidf_weights", """
-WITH w AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM labelled_text)) / CAST(1 + df AS DOUBLE)) + 1) AS w
- FROM label_words JOIN (SELECT gram, count(*) AS df FROM label_words GROUP BY gram) USING (gram))
-SELECT id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w
+WITH w AS (SELECT id, block, gram, (1 + ln(tf)) * idf AS w FROM label_grams JOIN label_idf USING (block, gram)),
+u AS (SELECT id, block, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id, block)) AS weight FROM w)
+SELECT id, block, substr(gram, 1, 1) AS initial, count(*) AS grams, round(sum(weight), 5) AS total, round(max(weight), 6) AS most, min(gram) AS first_gram
+FROM u GROUP BY ALL
 """)
 def tfidf_weights(spark, sf):
+    """Weights of every gram of both blocks, summed up for each text, block and initial."""
     texts = labelled_text(spark, sf)
-    grams = M.explode_grams(texts).where(F.col("block") == "word")
-    weights = M.tfidf_weights(grams, M.fit_idf(grams, texts.count()))
-    return weights.select("id", "gram", F.round("weight", 6).alias("weight"))
-
+    grams = M.cut(M.explode_grams(texts))
+    weights = M.tfidf_weights(grams, M.fit_idf(grams, F.lit(texts.count())))
+    return weights.groupBy("id", "block", F.substring("gram", 1, 1).alias("initial")).agg(
+        F.count("*").alias("grams"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("most"),
+        F.min("gram").alias("first_gram"))
 
-def _with_families(spark, sf):
-    t = labelled_text(spark, sf)
-    return t.join(S.families(t), "id")
 
-
-sql_view("quick_families", """
-SELECT id, label, text, min(id) OVER (PARTITION BY md5(text)) AS family FROM labelled_text
+sql_view("labelled_families", f"""
+SELECT t.id, t.label, t.text, f.family FROM labelled_text t JOIN ({_FAMILIES} SELECT id, family FROM fam) f ON f.id = t.id
 """)
 
 
-def _quick_families(spark, sf):
-    t = labelled_text(spark, sf)
-    fam = t.groupBy(F.md5("text").alias("h")).agg(F.min("id").alias("family"))
-    return t.withColumn("h", F.md5("text")).join(fam, "h").drop("h", "masked")
+def labelled_families(spark, sf):
+    """Labelled texts, masked, with their near-duplicate family."""
+    t = saved(labelled_text(spark, sf))
+    return saved(t.join(S.families(t), "id").select("id", "label", F.col("masked").alias("text"), "family"))
 
 
 sql_view("ordered_families", f"""
 SELECT family, arg_max(label, n * 1000 - ascii(label)) AS label, CAST(sum(n) AS BIGINT) AS size, min(first) AS first, sha256('{SEED}:' || min(first)) AS key
-FROM (SELECT family, label, count(*) AS n, min(id) AS first FROM quick_families GROUP BY ALL) GROUP BY family
+FROM (SELECT family, label, count(*) AS n, min(id) AS first FROM labelled_families GROUP BY ALL) GROUP BY family
 """)
 
 
 @query("t5_family_order", "SELECT family, size, first, key FROM ordered_families")
 def family_order(spark, sf):
-    return M.order_families(_quick_families(spark, sf), SEED).select("family", "size", "first", "key")
+    return M.order_families(labelled_families(spark, sf), SEED).select("family", "size", "first", "key")
 
 
 _SPLIT_SQL = """
@@ -99,18 +104,23 @@ split AS (SELECT family, CASE WHEN share < 0.7 THEN 'train' WHEN share < 0.85 TH
 
 
 @query("m3_family_split", f"""
-WITH {_SPLIT_SQL} SELECT q.id, q.family, split FROM quick_families q JOIN split USING (family)
+WITH {_SPLIT_SQL} SELECT q.id, q.family, split FROM labelled_families q JOIN split USING (family)
 """)
 def family_split(spark, sf):
-    return M.split_families(_quick_families(spark, sf), SEED)
+    return M.split_families(labelled_families(spark, sf), SEED)
 
 
-@query("j18_split_leakage", """
-SELECT lang AS family, min(source) AS first, max(source) AS last, count(*) AS members FROM documents GROUP BY lang HAVING min(source) <> max(source)
+@query("j18_split_leakage", f"""
+WITH {_SPLIT_SQL}, both AS (SELECT 'families' AS cut_by, family, split FROM labelled_families JOIN split USING (family)
+ UNION ALL SELECT 'rows', family, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END FROM labelled_families)
+SELECT cut_by, family, min(split) AS first, max(split) AS last, count(*) AS members FROM both GROUP BY cut_by, family HAVING min(split) <> max(split)
 """)
 def split_leakage(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("lang").alias("family"), F.col("source").alias("split"))
-    return S.split_leakage(d)
+    """Families that a split tears apart: none where families are split, some where rows are."""
+    data = labelled_families(spark, sf)
+    rows = data.select("family", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("split"))
+    return S.split_leakage(M.split_families(data, SEED)).select(F.lit("families").alias("cut_by"), "*").unionByName(
+        S.split_leakage(rows).select(F.lit("rows").alias("cut_by"), "*"))
 
 
 # Predictions with known errors and confidences, one per document label.
@@ -189,12 +199,32 @@ def threshold_choice(spark, sf):
     return M.choose_threshold(M.threshold_table(predictions(spark, sf)))
 
 
-@query("m6_evaluate_sets", """
-SELECT model, "set", count(*) AS count, round(count(*) FILTER (WHERE label = predicted) / CAST(count(*) AS DOUBLE), 6) AS accuracy FROM predictions GROUP BY ALL
+_SETS = """
+cells AS (SELECT s."set", s.model, l.label, count(p.id) FILTER (WHERE p.label = l.label) AS support, count(p.id) FILTER (WHERE p.label = l.label AND p.predicted = l.label) AS hit,
+ count(p.id) FILTER (WHERE p.predicted = l.label) AS guessed FROM (SELECT DISTINCT "set", model FROM predictions) s
+ CROSS JOIN (VALUES ('q0t0'), ('q0t1'), ('q1t0'), ('q1t1')) l(label) JOIN predictions p ON p."set" = s."set" AND p.model = s.model GROUP BY ALL),
+sets AS (SELECT "set", model, CAST(sum(support) AS BIGINT) AS count, sum(hit) / CAST(sum(support) AS DOUBLE) AS accuracy,
+ avg(coalesce(2.0e0 * hit / nullif(guessed + support, 0), 0)) AS macro_f1, sum(support * coalesce(2.0e0 * hit / nullif(guessed + support, 0), 0)) / sum(support) AS weighted_f1
+ FROM cells GROUP BY ALL)
+"""
+
+
+@query("m6_evaluate_sets", f"""
+WITH {_SETS} SELECT model, "set", count, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1 FROM sets
 """)
 def evaluate_sets(spark, sf):
     return M.evaluate_sets(predictions(spark, sf), LABELS).select(
-        "model", "set", "count", F.round("accuracy", 6).alias("accuracy"))
+        "model", "set", "count", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
+
+
+@query("m6_before_after", f"""
+WITH {_SETS}, long AS (SELECT "set", model, unnest(['count', 'accuracy', 'macro_f1', 'weighted_f1']) AS metric, unnest([CAST(count AS DOUBLE), accuracy, macro_f1, weighted_f1]) AS v FROM sets)
+SELECT a."set", a.metric, round(a.v, 6) AS before, round(b.v, 6) AS after, round(b.v - a.v, 6) AS change FROM long a JOIN long b ON b."set" = a."set" AND b.metric = a.metric
+WHERE a.model = 'm0' AND b.model = 'm1'
+""")
+def before_after(spark, sf):
+    rows = M.before_after(M.evaluate_sets(predictions(spark, sf), LABELS), "m0", "m1")
+    return rows.select("set", "metric", *[F.round(c, 6).alias(c) for c in ("before", "after", "change")])
 
 
 @query("a20_system_outcomes", """
@@ -251,61 +281,88 @@ def labelled_load(spark, sf):
         "violation").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _model_data(spark, sf):
-    data = M.cut(_quick_families(spark, sf).join(
-        M.split_families(_quick_families(spark, sf), SEED).select("id", "split"), "id"))
-    train, rest = data.where(F.col("split") == "train"), data.where(F.col("split") != "train")
-    return data, train, rest
+def trained(spark, sf) -> M.Training:
+    data = labelled_families(spark, sf)
+    return M.train_intents(data.drop("family"), data.select("id", "family"), LABELS, SEED)
 
 
 @query("m2_m5_t3_score_intent")
 def score_intent(spark, sf):
-    """Fit on the training families, score the held-out ones; label, confidence, acted_on."""
-    _, train, rest = _model_data(spark, sf)
-    fit_on, score_on, _ = M.intent_features(train, rest)
-    model = M.fit_intent(fit_on.join(train.select("id", "label"), "id"), LABELS, 10.0)
-    scored = M.score_intent(score_on, model, LABELS, 0.9)
-    return scored.join(rest.select("id", "label"), "id").select(
-        "id", "label", "predicted", F.round("confidence", 4).alias("confidence"), "acted_on")
+    """The held-out families by the model of the chosen C: label, confidence, and whether it is acted on."""
+    return trained(spark, sf).scored.select(
+        "split", "id", "label", "predicted", F.round("confidence", 4).alias("confidence"), "acted_on")
 
 
 @query("m4_grouped_cv")
 def grouped_cv(spark, sf):
-    """Out-of-fold predictions of two regularisations over whole families."""
-    data = _quick_families(spark, sf)
-    return M.grouped_cv(data, LABELS, SEED, c_grid=(1.0, 10.0), k=3).select(
-        "c", "id", "label", "predicted", F.round("confidence", 4).alias("confidence"))
+    """Out-of-fold predictions of five regularisations over five folds of whole families, on the training split."""
+    data = labelled_families(spark, sf)
+    train = data.join(M.split_families(data, SEED).where("split = 'train'").select("id"), "id", "left_semi")
+    return M.grouped_cv(saved(train), LABELS, SEED).select("c", "id", "label", "predicted", F.round("confidence", 4).alias("confidence"))
+
+
+@query("m4_t4_a19_training_report")
+def training_report(spark, sf):
+    """Figures of one training run: score of each C, the chosen one, thresholds, and the test scored once."""
+    run = trained(spark, sf)
+    row = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), value.cast("double").alias("value"))
+    label = lambda name: F.col(name).cast("string")
+    parts = [run.scores.select(row("cv_macro_f1", label("c"), F.round("score", 6)).alias("r")),
+             run.scores.limit(1).select(F.explode(F.array(row("chosen", F.lit("c"), F.lit(run.best_c)),
+                                                          row("chosen", F.lit("threshold"), F.lit(run.threshold)))).alias("r")),
+             run.splits.groupBy("split").count().select(row("texts", F.col("split"), F.col("count")).alias("r"))]
+    parts += [run.calibration.select(row(c, label("threshold"), F.round(c, 6)).alias("r")) for c in ("accepted", "accepted_errors", "accepted_precision")]
+    metrics = M.class_metrics(run.scored.where("split = 'test'"), LABELS)
+    parts += [metrics.select(row(f"test_{c}", F.col("label"), F.round(c, 6)).alias("r")) for c in ("precision", "recall", "f1", "support")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("r.part", "r.name", "r.value")
 
 
 @query("f17_class_probabilities")
 def class_probabilities(spark, sf):
-    """Softmax rows; each sums to one."""
-    _, train, rest = _model_data(spark, sf)
-    fit_on, score_on, _ = M.intent_features(train, rest)
-    model = M.fit_intent(fit_on.join(train.select("id", "label"), "id"), LABELS, 1.0)
-    p = M.class_probabilities(score_on, model)
-    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
-    return p.select("id", F.round(total, 6).alias("total"))
+    """Softmax over the labels for every held-out text, by a model of one C."""
+    data = labelled_families(spark, sf)
+    placed = saved(data.join(M.split_families(data, SEED).select("id", "split"), "id"))
+    roles = placed.select("id", "label", F.when(F.col("split") == "train", 0).alias("fold"))
+    entries = M.part_entries(M.cut(M.explode_grams(placed)), roles)
+    models = M.fit_parts(entries, roles, LABELS, (10.0,))
+    rest = roles.where("fold IS NULL").select("id", F.lit(0).alias("part"))
+    p = M.score_parts(entries, rest, models, LABELS, (10.0,))
+    return p.select("id", *[F.round(F.get("probabilities", F.lit(i)), 6).alias(f"p_{k}") for i, k in enumerate(LABELS)], "predicted")
+
+
+_SINK = f"""
+WITH {_CLASS_SQL}, thresholds AS ({_THRESHOLDS})
+SELECT 'metrics' AS part, label AS name, support AS n, round(coalesce(2.0e0 * hit / nullif(guessed + support, 0), 0), 6) AS value FROM cls
+UNION ALL SELECT 'confusion', label || '>' || predicted, count(*), NULL FROM predictions GROUP BY label, predicted
+UNION ALL SELECT 'thresholds', CAST(CAST(round(threshold * 100) AS INTEGER) AS VARCHAR), accepted, CAST(accepted_errors AS DOUBLE) FROM thresholds
+UNION ALL SELECT 'misclassified', CAST(id AS VARCHAR), 1, confidence FROM predictions WHERE label <> predicted
+"""
 
 
-@query("s11_evaluation_sink")
+@query("s11_evaluation_sink", _SINK)
 def evaluation_sink(spark, sf):
-    """Metrics, confusion, thresholds and misclassified rows written, then read back."""
+    """Metrics, confusion, thresholds and misclassified rows written twice over, then read back whole."""
     import uuid
 
     from earthframe.lineage import shared_folder
-    from earthframe.sources.labelled import write_evaluation
+    from earthframe.sources.labelled import read_evaluation, write_evaluation
 
     folder = f"{shared_folder(spark)}/evaluation-{uuid.uuid4().hex}"
     p = predictions(spark, sf)
-    write_evaluation({
-        "metrics": M.class_metrics(p, LABELS), "confusion": M.confusion(p, LABELS),
-        "thresholds": M.threshold_table(p),
-        "misclassified": p.where(F.col("label") != F.col("predicted")),
-    }, folder)
-    counts = [spark.read.json(f"{folder}/{part}").select(F.lit(part).alias("part"))
-              for part in ("metrics", "confusion", "thresholds", "misclassified")]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    reports = {"metrics": M.class_metrics(p, LABELS), "confusion": M.confusion(p, LABELS), "thresholds": M.threshold_table(p),
+               "misclassified": p.where(F.col("label") != F.col("predicted"))}
+    for _ in range(2):  # writing a set again leaves one copy
+        write_evaluation(reports, folder, "all")
+    back = read_evaluation(spark, {name: df.schema for name, df in reports.items()}, folder, "all")
+    cells = back["confusion"].select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("p"), F.col(k).alias("n")) for k in LABELS])).alias("c"))
+    none = F.lit(None).cast("double")
+    return (
+        back["metrics"].select(F.lit("metrics").alias("part"), F.col("label").alias("name"), F.col("support").alias("n"), F.round("f1", 6).alias("value"))
+        .unionByName(cells.where("c.n > 0").select(F.lit("confusion").alias("part"), F.concat_ws(">", "label", "c.p").alias("name"), F.col("c.n").alias("n"), none.alias("value")))
+        .unionByName(back["thresholds"].select(F.lit("thresholds").alias("part"), F.round(F.col("threshold") * 100).cast("int").cast("string").alias("name"),
+                                               F.col("accepted").alias("n"), F.col("accepted_errors").cast("double").alias("value")))
+        .unionByName(back["misclassified"].select(F.lit("misclassified").alias("part"), F.col("id").cast("string").alias("name"),
+                                                  F.lit(1).cast("bigint").alias("n"), F.col("confidence").alias("value"))))

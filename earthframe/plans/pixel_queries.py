@@ -198,16 +198,15 @@ def class_counts(spark, sf):
 
 
 @query("j1_band_pair", """
-SELECT scene_id, "row", col, min(green) AS green, min(nir) AS nir FROM pixels
-WHERE green_valid GROUP BY ALL
+SELECT scene_id, "row", col, min(green) AS green, min(nir) AS nir, bool_or(green_valid) AS green_valid, TRUE AS nir_valid FROM pixels GROUP BY ALL
 """)
 def band_pair(spark, sf):
-    """Long pixels (one row per band) folded into pairs by one shuffle on the pixel key."""
-    px = V.pixels(spark, sf).where("green_valid").groupBy(*KEY).agg(
-        F.min("green").alias("green"), F.min("nir").alias("nir"), F.min("red").alias("red"))
-    long = px.unpivot(KEY, ["green", "nir", "red"], "asset", "value").withColumn(
-        "valid", B.band_valid(F.col("value")))
-    return P.pair_bands(long, KEY, "green", "nir").select(*KEY, "green", "nir")
+    """Long pixels (one row per band) folded into pairs by one shuffle on the pixel key; invalid ones keep their mark."""
+    px = V.pixels(spark, sf).groupBy(*KEY).agg(
+        F.min("green").alias("green"), F.min("nir").alias("nir"), F.min("red").alias("red"), F.bool_or("green_valid").alias("ok"))
+    long = px.unpivot([*KEY, "ok"], ["green", "nir", "red"], "asset", "value").withColumn(
+        "valid", B.band_valid(F.col("value")) & (F.col("ok") | (F.col("asset") != "green")))
+    return P.pair_bands(long, KEY, "green", "nir").select(*KEY, "green", "nir", "green_valid", "nir_valid")
 
 
 @query("j2_coregister", """

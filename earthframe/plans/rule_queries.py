@@ -185,13 +185,12 @@ def aoi_coverage(spark, sf):
 @query("j16_scene_area_pairs", """
 SELECT s.id, a.request_id, round(greatest(0, least(east, aoi_east) - greatest(west, aoi_west))
  * greatest(0, least(north, aoi_north) - greatest(south, aoi_south)) / ((aoi_east - aoi_west) * (aoi_north - aoi_south)), 6) AS fraction
-FROM scenes s JOIN requests a ON floor(s.west / 13) = floor(a.aoi_west / 13) AND a.aoi_west = floor(s.west)
- AND NOT (east < aoi_west OR west > aoi_east OR north < aoi_south OR south > aoi_north)
+FROM scenes s JOIN requests a ON NOT (east < aoi_west OR west > aoi_east OR north < aoi_south OR south > aoi_north)
 """)
 def scene_area_pairs(spark, sf):
-    """Footprints against request areas, met on the whole-degree cells they touch, boxes before clipping."""
+    """Footprints against request areas, boxes before clipping; a scene without a box touches none."""
     box = X.bbox(*[F.col(e) for e in ("west", "south", "east", "north")])
-    scenes = V.scenes(spark, sf).where(F.col("west").isNotNull()).select("id", "west", "south", "east", "north",
+    scenes = V.scenes(spark, sf).select("id", "west", "south", "east", "north",
              FP.box_polygons(box).alias("polygons"))
     areas = V.requests(spark, sf).select(
         "request_id", *[f"aoi_{e}" for e in ("west", "south", "east", "north")])

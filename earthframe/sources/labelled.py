@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from earthframe.functions.rules import first_failure
 from earthframe.operators.intents import INTENT_LABELS
@@ -39,7 +40,18 @@ def load_labelled(lines: DataFrame, labels: Sequence[str] = INTENT_LABELS, raw:
     return rows, checked.where(F.col("violation").isNotNull()).select("id", "raw", "violation")
 
 
-def write_evaluation(reports: dict[str, DataFrame], folder: str) -> None:
-    """One folder per report part (metrics, confusion, thresholds, misclassified...)."""
+def write_evaluation(reports: dict[str, DataFrame], folder: str, evaluated: str) -> None:
+    """Write the parts of a report (metrics, confusion, thresholds, misclassified...) of the set ``evaluated``.
+
+    Each part is a Parquet table partitioned by set. Writing a set again replaces its partition and no other, so a run that
+    is repeated, or fails half-way and starts anew, leaves one copy.
+    """
     for name, df in reports.items():
-        df.write.mode("overwrite").json(f"{folder}/{name}")
+        rows = df.drop("set").withColumn("set", F.lit(evaluated))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set").parquet(f"{folder}/{name}")
+
+
+def read_evaluation(spark: SparkSession, schemas: dict[str, StructType], folder: str, evaluated: str) -> dict[str, DataFrame]:
+    """The parts of the set ``evaluated`` as they were written; only its partitions are read."""
+    return {name: spark.read.parquet(f"{folder}/{name}").where(F.col("set") == evaluated).select(*[c for c in schema.names if c != "set"])
+            for name, schema in schemas.items()}

@@ -20,7 +20,8 @@ CROSS_SECTION = {
     "w8_shown_window", "s1_normalise_scenes", "p21_scene_rule_cascade", "j16_p22_aoi_coverage",
     "p15_radiometric_status", "p25_request_cascade", "p34_href_policy", "p36_execution_audit",
     "w3_consecutive_pairs", "p32_limitations", "p44_temporal_warnings", "f9_f11_answer_verdict",
-    "f18_date_expressions", "f21_f22_question_flags", "f24_operation_routing", "m3_family_split",
+    "f18_date_expressions", "f21_f22_question_flags", "f24_operation_routing", "j16_scene_area_pairs", "a23_document_frequency",
+    "f16_m1_tfidf_weights", "m6_evaluate_sets", "m6_before_after", "s11_evaluation_sink",
     "a18_threshold_table", "w7_single_slot", "x2_first_seen", "a22_stage_summary",
 }
 ORACLES = entry.oracle_sql()
