@@ -12,6 +12,8 @@ whose bound reaches it, and those too are scored exactly: what is left out is pr
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,7 @@ for _low, _high in ("09", "AZ", "az"):
     _TERM[ord(_low):ord(_high) + 1] = True
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPLIT, _FOLD = re.compile(_SEPARATORS), str.maketrans(_UPPER, _LOWER)
 
 
 def terms_of(text: Column) -> Column:
@@ -210,19 +213,35 @@ def _meet(signatures: DataFrame, queries: DataFrame, mean: tuple[int, int], k: i
     return work.mapInArrow(run, "query bigint, _doc bigint, _tag bigint, bound double")
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of each text with their frequencies."""
+    for batch in batches:
+        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            found = [Counter(_SPLIT.split(t.as_py().translate(_FOLD))) for t in part.column("text")]
+            for terms in found:
+                terms.pop("", None)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_doc"), part.column("_tag"), pa.array([sum(t.values()) for t in found], pa.int64()),
+                 pa.array([[{"term": k, "tf": n} for k, n in t.items()] for t in found], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))],
+                ["_doc", "_tag", "n", "terms"])
+
+
 def _exact(texts: DataFrame, pairs: DataFrame, weights: DataFrame, mean: tuple[int, int]) -> DataFrame:
-    """(query, _doc, _tag, copies, score): exact scores above 0 of pairs (query, _doc, _tag), from whole texts and terms."""
-    rows = texts.join(pairs.select("_doc", "_tag").distinct(), ["_doc", "_tag"], "left_semi")
+    """(query, _doc, _tag, copies, score): exact scores above 0 of pairs (query, _doc, _tag), from whole texts and terms.
+
+    A text meets its queries as one row of counted terms; terms are spread only then, and added up again before any shuffle.
+    """
+    own = pairs.select("query", "_doc", "_tag").distinct()
+    rows = texts.join(own.select("_doc", "_tag").distinct(), ["_doc", "_tag"], "left_semi")
     copies = rows.groupBy("_doc", "_tag").agg(F.count("*").alias("copies"))
-    terms = rows.select("_doc", "_tag", terms_of(F.col("text")).alias("terms")).withColumn("n", F.size("terms").cast("bigint"))
+    counted = rows.mapInArrow(_counts, "_doc bigint, _tag bigint, n bigint, terms array<struct<term: string, tf: bigint>>")
     m = F.lit(100 - BASE_PART) + F.expr(f"({LENGTH_PART}L * n * {mean[0]}L) div {mean[1]}L")
-    counted = (terms.select("_doc", "_tag", m.alias("m"), F.explode("terms").alias("term"))
-               .join(weights.select("term").distinct(), "term", "left_semi").groupBy("_doc", "_tag", "m", "term").agg(F.count("*").alias("seen")))
-    # repeated rows have one key and one text, so each of them has its share of what is seen
-    own = pairs.select("query", "_doc", "_tag").distinct().join(copies, ["_doc", "_tag"])
+    met = (counted.withColumn("m", m).join(own, ["_doc", "_tag"]).select("query", "_doc", "_tag", "m", F.inline("terms"))
+           .join(weights, ["query", "term"]))
     part = F.expr(f"weight * (({ONE}L * tf) div (1000L * tf + {HALF}L * m))")
-    return (counted.join(own, ["_doc", "_tag"]).join(weights, ["query", "term"]).withColumn("tf", F.expr("seen div copies"))
-            .groupBy("query", "_doc", "_tag", "copies").agg(F.sum(part).alias("score")).where("score > 0"))
+    # repeated rows have one key and one text, so each of them has its share of the sum
+    return (met.groupBy("query", "_doc", "_tag").agg(F.sum(part).alias("total")).join(copies, ["_doc", "_tag"])
+            .select("query", "_doc", "_tag", "copies", F.expr("total div copies").alias("score")).where("score > 0"))
 
 
 def _packed(weights: DataFrame, floors: DataFrame) -> DataFrame:
