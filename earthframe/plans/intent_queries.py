@@ -111,9 +111,9 @@ def family_split(spark, sf):
 
 
 @query("j18_split_leakage", f"""
-WITH {_SPLIT_SQL}, both AS (SELECT 'families' AS cut_by, family, split FROM labelled_families JOIN split USING (family)
+WITH {_SPLIT_SQL}, cuts AS (SELECT 'families' AS cut_by, family, split FROM labelled_families JOIN split USING (family)
  UNION ALL SELECT 'rows', family, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END FROM labelled_families)
-SELECT cut_by, family, min(split) AS first, max(split) AS last, count(*) AS members FROM both GROUP BY cut_by, family HAVING min(split) <> max(split)
+SELECT cut_by, family, min(split) AS first, max(split) AS last, count(*) AS members FROM cuts GROUP BY cut_by, family HAVING min(split) <> max(split)
 """)
 def split_leakage(spark, sf):
     """Families that a split tears apart: none where families are split, some where rows are."""
