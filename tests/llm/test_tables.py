@@ -42,6 +42,35 @@ def test_nearest_vectors(spark):
     assert nearest_vectors.search(table.limit(0)).count() == 0
 
 
+def test_repeated_ids_take_one_place(spark):
+    rng = np.random.default_rng(14)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(7, [1.0, 0.001 * i, 0.0]) for i in range(1, 9)] + [(i, rng.normal(size=3).tolist()) for i in range(10, 30)]
+    out = nearest_vectors.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("query_id = 0").orderBy("rank").collect()
+    plain = defaultdict(list)
+    for i, v in rows[1:]:
+        v = np.array(v, np.float32).astype(float)
+        plain[i].append(v[0] / np.linalg.norm(v))
+    best = sorted(((-max(s), i) for i, s in plain.items()))[:5]
+    assert [r.vec_id for r in out] == [i for _, i in best] and np.allclose([r.score for r in out], [-s for s, _ in best])
+
+
+@pytest.mark.parametrize("centres", [3, 40])
+def test_recall_on_clustered_vectors(spark, centres):
+    rng = np.random.default_rng(15)
+    middles = rng.normal(size=(centres, 32))
+    vectors = (middles[rng.integers(centres, size=900)] + 0.2 * rng.normal(size=(900, 32))).astype(np.float32)
+    out = nearest_vectors.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")).collect()
+    units = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    got = defaultdict(set)
+    for r in out:
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, 900, 50):
+        near = units @ units[q]
+        near[q] = -2
+        assert len(got[q] & set(np.argsort(-near)[:5].tolist())) >= 4
+    assert sum(len(got[q] & set(np.argsort(-np.where(np.arange(900) == q, -2, units @ units[q]))[:5].tolist())) for q in range(0, 900, 50)) >= 0.9 * 90
+
+
 def test_estimates_keep_their_bounds():
     rng = np.random.default_rng(9)
     units = rng.normal(size=(2000, 64))
