@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Fitting takes a bounded sample of the labelled rows and keeps as features the words, and word beginnings of four characters, that
-go with the toxic label far more often than chance would have it. Each example is its TF-IDF vector over them; the
-examples form an inverted index whose posting lists are cut into blocks of 64 examples with the largest weight of
-each block. A text finds its nearest examples exactly: the block maxima bound what any example of a block can
-reach, and blocks are read from the highest bound down until no bound reaches the worst of the neighbours found. Neighbours
-vote with their cosine as weight, against a prior of the share of toxic examples without any feature.
+Fitting takes a bounded sample of the labelled rows and folds confirmed near copies. Each example is its TF-IDF vector over all words, and
+word beginnings of four characters, that two examples hold; the idf of a feature is multiplied by how surely it goes with either label, so
+rare and common words without bearing on the label count little but are never left out. The examples form an inverted index whose
+posting lists are cut into blocks of 64 examples with the largest weight of each block. A text finds its nearest
+examples exactly: the block maxima bound what any example of a block can reach, and blocks are read from the highest
+bound down until no bound reaches the worst of the neighbours found. Neighbours vote with their cosine as weight against the share of
+toxic examples, and votes become probabilities by a logistic curve fitted on the examples, each scored without itself.
 """
 
 from __future__ import annotations
@@ -22,20 +23,24 @@ from pyspark.sql import functions as F
 
 from earthframe.lineage import saved
 from earthframe.llm.bytesets import slices, texts
-from earthframe.llm.near_dedup import shingle_sets
+from earthframe.llm.near_dedup import _confirm, shingle_sets, signatures
 from earthframe.llm.rows import arrow_map
 
-#: Labelled rows that are fitted on, features kept, neighbours asked.
-EXAMPLES, FEATURES, NEIGHBOURS = 16_384, 4_096, 15
+#: Labelled rows that are fitted on, and neighbours asked.
+EXAMPLES, NEIGHBOURS = 4_096, 15
 BLOCK, BEGINNING = 64, 4
-#: Toxic rows that must show a feature, the strength of association (a G statistic) and how many times as often toxic
-#: rows must show it as others do for it to be kept.
-SUPPORT, STRENGTH, RATIO = 3, 18.0, 10
-#: Share of the toxic examples that must show a feature.
-SHOWN = 0.015
+#: Examples that must hold a feature; the strength of association (a G statistic) at which a feature has half its full weight; the
+#: part of its weight that it has without any.
+SUPPORT, STRENGTH, FLOOR = 2, 18.0, 0.01
 #: Weight of the prior in a vote, as a sum of cosines.
 PRIOR_WEIGHT = 0.25
+#: Pull of the calibration towards the votes themselves, in squared units of its two numbers.
+PULL = 1.0
 THRESHOLD = 0.3
+#: MinHash symbols by which near copies among the examples meet; at a similarity of 0.75 one pair in 65,000 meets in none.
+MARKS = 8
+#: Blocks read first; each further step reads twice as many.
+FIRST_BLOCKS = 4
 #: Words whose features a task remembers.
 REMEMBERED = 500_000
 
@@ -57,17 +62,24 @@ def features(text: str) -> Counter:
 
 
 def _features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Features of each example, and its kind: the smallest of its shingle hashes, which near copies mostly share."""
+    """Features of each example."""
+    for text, example, label in zip(texts(batch.column("text")), batch.column("example"), batch.column("toxic"), strict=True):
+        found = features(text.as_py())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([example.as_py()] * len(found), pa.int64()), pa.array([label.as_py()] * len(found), pa.int32()),
+             pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["example", "toxic", "feature", "n"])
+
+
+def _prints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """MinHash symbols and shingles of each example that has words."""
     for rows, data, offsets in slices(batch):
         sets, _, _ = shingle_sets(data, offsets)
-        kinds = [int(s.min().astype(np.int64)) if len(s) else 0 for s in sets]
-        told = zip(texts(rows.column("text")), rows.column("example"), rows.column("toxic"), kinds, strict=True)
-        for text, doc, label, kind in told:
-            found = features(text.as_py())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([doc.as_py()] * len(found), pa.int64()), pa.array([label.as_py()] * len(found), pa.int32()),
-                 pa.array([kind] * len(found), pa.int64()), pa.array(list(found), pa.string()),
-                 pa.array(list(found.values()), pa.int64())], ["example", "toxic", "kind", "feature", "n"])
+        full = np.flatnonzero([len(s) for s in sets])
+        sets = [sets[i] for i in full]
+        rows = rows.take(pa.array(full))
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("example"), rows.column("toxic"), pa.array(signatures(sets)[:, :MARKS].astype(np.int32).tolist(), pa.list_(pa.int32())),
+             pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "toxic", "marks", "shingles"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,112 +88,183 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Index(NamedTuple):
-    """Block-max inverted index over the examples that have a feature, and the share of toxic ones without."""
+    """Block-max inverted index over the examples.
 
-    idf: dict[str, tuple[int, float]]
-    starts: np.ndarray  # of each feature's postings
-    examples: np.ndarray  # postings: example numbers, ascending in each list
-    weights: np.ndarray
-    block_starts: np.ndarray  # of each feature's blocks
-    blocks: np.ndarray  # block numbers that its list touches
+    A feature's entries, one for each block that its list touches, stand from ``starts[f]`` to ``starts[f + 1]``; an
+    entry's postings from ``at[e]`` to ``at[e + 1]``.
+    """
+
+    weight: dict[str, tuple[int, float]]  # number and weight of each feature
+    starts: np.ndarray
+    blocks: np.ndarray  # of entries
     maxima: np.ndarray
-    labels: np.ndarray
+    at: np.ndarray
+    examples: np.ndarray  # postings: example numbers and weights
+    weights: np.ndarray
+    labels: np.ndarray  # of example numbers
     ids: np.ndarray
     prior: float
-
-
-def build_index(rows: list, idf: dict[str, float], sizes: dict[int, int]) -> Index:
-    """``rows`` are (example, toxic, feature, n); ``sizes`` the number of all examples per label."""
-    number = {f: i for i, f in enumerate(sorted(idf))}
-    by: dict[int, list] = {}
-    label: dict[int, int] = {}
-    for example, toxic, feature, n in rows:
-        by.setdefault(example, []).append((number[feature], (1 + math.log(n)) * idf[feature]))
-        label[example] = toxic
-    ids = sorted(by)
-    postings: list[list] = [[] for _ in number]
-    for at, example in enumerate(ids):
-        length = math.sqrt(sum(w * w for _, w in by[example]))
-        for f, w in by[example]:
-            postings[f].append((at, w / length))
-    starts = np.cumsum([0] + [len(p) for p in postings])
-    flat = [x for p in postings for x in p]
-    examples = np.array([e for e, _ in flat], np.int64)
-    weights = np.array([w for _, w in flat], np.float64)
-    block_starts, blocks, maxima = [0], [], []
-    for p in postings:
-        top: dict[int, float] = {}
-        for e, w in p:
-            top[e // BLOCK] = max(top.get(e // BLOCK, 0.0), w)
-        blocks += list(top)
-        maxima += list(top.values())
-        block_starts.append(len(blocks))
-    bare = {k: sizes.get(k, 0) - sum(v == k for v in label.values()) for k in (0, 1)}
-    return Index({f: (number[f], idf[f]) for f in number}, starts, examples, weights, np.array(block_starts),
-                 np.array(blocks, np.int64), np.array(maxima), np.array([label[e] for e in ids], np.int64),
-                 np.array(ids, np.int64), (bare[1] + 0.1) / (bare[0] + bare[1] + 1))
-
-
-def nearest(index: Index, query: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-    """The ``k`` examples of the largest cosine above 0, nearest first, ties to the smaller number."""
-    length = math.sqrt(sum(w * w for w in query.values()))
-    terms = sorted((f, w / length) for f, w in query.items())
-    bound: dict[int, float] = {}
-    for f, w in terms:
-        lo, hi = index.block_starts[f], index.block_starts[f + 1]
-        for b, m in zip(index.blocks[lo:hi].tolist(), index.maxima[lo:hi].tolist(), strict=True):
-            bound[b] = bound.get(b, 0.0) + w * m
-    best: list[tuple[float, int]] = []
-    for b, most in sorted(bound.items(), key=lambda x: (-x[1], x[0])):
-        if len(best) == k and most < -best[-1][0] - 1e-12:
+    slope: float = 1.0
+    shift: float = 0.0
+
+
+def build_index(examples: dict[int, int], weight: dict[str, float], ids: np.ndarray, names: list[str], times: np.ndarray) -> Index:
+    """``examples`` are labels by id, ``weight`` by feature; ``ids``, ``names`` and ``times`` say how often an example holds a feature."""
+    number = {f: i for i, f in enumerate(sorted(weight))}
+    known = np.array(sorted(examples), np.int64)
+    row = np.searchsorted(known, np.asarray(ids, np.int64))
+    column = np.fromiter((number[f] for f in names), np.int64, len(names))
+    full = np.array([weight[f] for f in sorted(weight)])
+    held = (1 + np.log(np.asarray(times, np.float64))) * full[column] if len(row) else np.zeros(0)
+    held = held / np.sqrt(np.bincount(row, held * held, len(known)))[row]
+    # Alike in label and size, the examples of a block have maxima near what each of them reaches.
+    labels = np.array([examples[e] for e in known.tolist()], np.int64)
+    order = np.lexsort((known, np.bincount(row, minlength=len(known)), labels))
+    place = np.empty(len(known), np.int64)
+    place[order] = np.arange(len(known))
+    row = place[row]
+    by = np.lexsort((row, column))
+    row, column, held = row[by], column[by], held[by]
+    key = column * (len(known) // BLOCK + 1) + row // BLOCK
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return Index({f: (i, weight[f]) for f, i in number.items()}, np.searchsorted(column[first], np.arange(len(number) + 1)),
+                 (row[first] // BLOCK).astype(np.int32), np.maximum.reduceat(held, first) if len(first) else held,
+                 np.append(first, len(row)).astype(np.int64), row.astype(np.int32), held, labels[order], known[order],
+                 (labels.sum() + 0.1) / (len(labels) + 1))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``lo[i] .. hi[i] - 1``, one after another."""
+    sizes = hi - lo
+    return np.arange(int(sizes.sum())) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
+
+
+def nearest(index: Index, query: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
+    """(cosine, example number) of the ``k`` examples of the largest cosine above 0, nearest first, ties to the smaller id.
+
+    ``without`` is the id of an example that takes no part.
+    """
+    terms = np.fromiter(query, np.int64, len(query))
+    own = np.fromiter(query.values(), np.float64, len(query))
+    own = own / np.sqrt(own @ own)
+    lo, hi = index.starts[terms], index.starts[terms + 1]
+    entries, own = _ranges(lo, hi), np.repeat(own, hi - lo)
+    blocks = index.blocks[entries]
+    bound = np.bincount(blocks, own * index.maxima[entries], len(index.ids) // BLOCK + 1)
+    order = np.argsort(-bound, kind="stable")
+    turn = np.empty(len(order), np.int64)
+    turn[order] = np.arange(len(order))
+    turn = turn[blocks]
+    scores = np.zeros(len(index.ids))
+    done, step, reach = 0, FIRST_BLOCKS, int((bound > 0).sum())
+    while done < reach:
+        now = np.flatnonzero((turn >= done) & (turn < done + step))
+        start, stop = index.at[entries[now]], index.at[entries[now] + 1]
+        postings = _ranges(start, stop)
+        scores += np.bincount(index.examples[postings], np.repeat(own[now], stop - start) * index.weights[postings], len(scores))
+        if without is not None:
+            scores[index.ids == without] = 0
+        done, step = done + step, 2 * step
+        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        if done < reach and least > 0 and bound[order[done]] < least - 1e-12:
+            break
+    least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+    found = np.flatnonzero((scores >= least) & (scores > 0))
+    found = found[np.lexsort((index.ids[found], -scores[found]))][:k]
+    return [(float(scores[e]), int(e)) for e in found]
+
+
+def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve over the log odds of votes, by Newton's steps; pulled towards 1 and 0."""
+    if not len(votes):
+        return 1.0, 0.0
+    x = np.stack([np.log(votes / (1 - votes)), np.ones(len(votes))], 1)
+    start = np.array([1.0, 0.0])
+    at = start.copy()
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((np.logaddexp(0, z) - labels * z).sum() + PULL / 2 * ((b - start) ** 2).sum())
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+        slope = x.T @ (p - labels) + PULL * (at - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PULL * np.eye(2), slope)
+        size = 1.0
+        while loss(at - size * step) > loss(at) and size > 1e-6:
+            size /= 2
+        at = at - size * step
+        if np.abs(step).max() < 1e-10:
             break
-        scores = np.zeros(BLOCK)
-        for f, w in terms:
-            lo, hi = index.starts[f], index.starts[f + 1]
-            a, z = lo + np.searchsorted(index.examples[lo:hi], [b * BLOCK, (b + 1) * BLOCK])
-            scores[index.examples[a:z] - b * BLOCK] += w * index.weights[a:z]
-        best = sorted(best + [(-scores[i], b * BLOCK + i) for i in np.flatnonzero(scores).tolist()])[:k]
-    return [(-s, e) for s, e in best]
+    return max(float(at[0]), 0.0), float(at[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """The index over at most EXAMPLES labelled rows, chosen in the order of a hash of their ids.
+def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """At most EXAMPLES rows (example, toxic, text).
 
-    A doc_id with several labels counts as toxic if one of them says so; labels that are null or not of an existing row teach nothing.
+    An example goes if it is a confirmed near copy of one of the same label with a smaller id, so the smallest of each group of
+    copies stays. Those with one MinHash symbol of eight in common are held against the smallest of them.
     """
     known = (labels.select(F.col("doc_id").cast("bigint").alias("example"), F.col("toxic").cast("int").alias("toxic"))
-             .where("example IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("example")))
+             .where("example IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("example")))
              .groupBy("example").agg(F.max("toxic").alias("toxic")))
     chosen = known.orderBy(F.xxhash64("example"), "example").limit(EXAMPLES)  # the bound that makes it broadcastable
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("example"), F.col("text").cast("string").alias("text"))
-    told = saved(arrow_map(rows.join(F.broadcast(chosen), "example"), _features,
-                           "example bigint, toxic int, kind bigint, feature string, n bigint"))
-    # Near copies teach once: of each kind the smallest id stays, and of a repeated id the fullest counts.
-    first = told.groupBy("toxic", "kind").agg(F.min("example").alias("example"))
-    told = saved(told.join(first, ["toxic", "kind", "example"]).groupBy("example", "toxic", "feature").agg(F.max("n").alias("n")))
-    sizes = {r.toxic: r.n for r in told.select("example", "toxic").distinct().groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    total, toxic = sum(sizes.values()), sizes.get(1, 0)
-    seen = told.groupBy("feature").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("a"))
-
-    def part(observed: Column, expected: Column) -> Column:
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    clean = total - toxic
-    b, c, d = F.col("df") - F.col("a"), F.lit(float(toxic)) - F.col("a"), F.lit(float(clean)) - F.col("df") + F.col("a")
-    shown, not_shown = F.col("df"), F.lit(float(total)) - F.col("df")
-    strength = 2 * (part(F.col("a"), shown * toxic / total) + part(b, shown * clean / total)
-                    + part(c, not_shown * toxic / total) + part(d, not_shown * clean / total))
-    for_toxic = F.col("a") * clean >= RATIO * (b + 0.5) * toxic
-    kept = (seen.withColumn("strength", strength)
-            .where(for_toxic & (F.col("a") >= max(SUPPORT, SHOWN * toxic)) & (F.col("strength") >= STRENGTH))
-            .orderBy(F.desc("strength"), "feature").limit(FEATURES).select("feature", "df")) if toxic and clean else seen.limit(0)
-    idf = {r.feature: math.log((1 + total) / (1 + r.df)) + 1 for r in kept.select("feature", "df").collect()}
-    examples = told.join(F.broadcast(kept.select("feature")), "feature").select("example", "toxic", "feature", "n").collect()
-    return build_index([tuple(r) for r in examples], idf, sizes)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("example"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    longest = F.max(F.struct(F.length("text").alias("size"), "text"))["text"]
+    told = saved(rows.join(F.broadcast(chosen), "example").groupBy("example", "toxic").agg(longest.alias("text")))
+    prints = saved(arrow_map(told, _prints, "cls bigint, toxic int, marks array<int>, shingles binary"))
+    marks = prints.select("cls", "toxic", F.posexplode("marks").alias("place", "mark"))
+    heads = marks.groupBy("toxic", "place", "mark").agg(F.min("cls").alias("a"))
+    pairs = marks.join(heads, ["toxic", "place", "mark"]).where("a < cls").select("a", F.col("cls").alias("b")).distinct()
+    copies = _confirm(pairs, prints.select("cls", "shingles")).select(F.col("b").alias("example"))
+    return saved(told.join(copies, "example", "left_anti"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Index:
+    """The calibrated index over at most EXAMPLES labelled rows, chosen in the order of a hash of their ids.
+
+    A doc_id with several labels counts as toxic if one of them says so, and of a repeated id the longest text teaches; labels other than 0
+    and 1, or not of an existing row, teach nothing.
+    """
+    examples = _examples(docs, labels)
+    told = saved(arrow_map(examples, _features, "example bigint, toxic int, feature string, n bigint"))
+    known = {r.example: r.toxic for r in examples.select("example", "toxic").collect()}
+    total, toxic = float(len(known)), float(sum(known.values()))
+    a, df = F.col("a"), F.col("df")
+
+    def part(observed: Column, share: float) -> Column:
+        return F.when(observed > 0, observed * F.log(observed / share)).otherwise(0.0)
+
+    strength = 2 * (part(a, toxic / total) + part(df - a, 1 - toxic / total) - part(df, 1.0)
+                    + part(F.lit(toxic) - a, toxic / total) + part(F.lit(total - toxic) - df + a, 1 - toxic / total)
+                    - part(F.lit(total) - df, 1.0)) if 0 < toxic < total else F.lit(0.0)
+    strength = F.greatest(strength, F.lit(0.0))
+    seen = (told.groupBy("feature").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("a"))
+            .where(df >= SUPPORT).select("feature", ((F.log((1 + total) / (1 + df)) + 1)
+                                                     * (FLOOR + strength / (strength + STRENGTH))).alias("weight")))
+    seen = saved(seen)
+    kept = seen.toArrow()
+    held = told.join(seen.select("feature"), "feature").select("example", "feature", "n").toArrow()
+    index = build_index(known, dict(zip(kept.column("feature").to_pylist(), kept.column("weight").to_pylist(), strict=True)),
+                        held.column("example").to_numpy(), held.column("feature").to_pylist(), held.column("n").to_numpy())
+    shared = examples.sparkSession.sparkContext.broadcast(index)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = Lookup(shared.value)
+        votes = [vote(words, text.as_py(), example.as_py())[0]
+                 for text, example in zip(texts(batch.column("text")), batch.column("example"), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+
+    # The table has fewer rows than a task of texts usually has: it is dealt by hash to be scored side by side.
+    dealt = examples.repartition(examples.sparkSession.sparkContext.defaultParallelism, "example")
+    votes = arrow_map(dealt, run, "vote double, toxic int").toArrow()
+    slope, shift = calibrate(votes.column("vote").to_numpy(), votes.column("toxic").to_numpy())
+    shared.unpersist()
+    return index._replace(slope=slope, shift=shift)
 
 
 class Lookup(dict):
-    """Feature numbers and idf of a word as it stands in a text; remembers the words it has seen."""
+    """Feature numbers and weights of a word as it stands in a text; remembers the words it has seen."""
 
     def __init__(self, index: Index):
         super().__init__()
@@ -190,30 +273,34 @@ class Lookup(dict):
     def __missing__(self, word: str) -> tuple:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = tuple(self.index.idf[f] for f in terms(word) if f in self.index.idf)
+        self[word] = found = tuple(self.index.weight[f] for f in terms(word) if f in self.index.weight)
         return found
 
 
-def vote(words: Lookup, text: str) -> tuple[float, list[tuple[float, int]]]:
-    """Score of one text and the neighbours that it rests on."""
-    index, query, times = words.index, {}, {}
+def vote(words: Lookup, text: str, without: int | None = None) -> tuple[float, list[tuple[float, int]]]:
+    """Vote on one text and the neighbours that cast it."""
+    index, full, times = words.index, {}, {}
     for word, n in Counter(text.lower().split()).items():
-        for f, idf in words[word]:
+        for f, weight in words[word]:
             times[f] = times.get(f, 0) + n
-            query[f] = idf
-    if not query:
-        return index.prior, []
-    found = nearest(index, {f: (1 + math.log(times[f])) * idf for f, idf in query.items()})
+            full[f] = weight
+    found = nearest(index, {f: (1 + math.log(times[f])) * w for f, w in full.items()}, without=without) if full else []
     weight = sum(s for s, _ in found)
     toxic = sum(s * int(index.labels[e]) for s, e in found)
     return float((toxic + PRIOR_WEIGHT * index.prior) / (weight + PRIOR_WEIGHT)), found
 
 
+def probability(index: Index, value: float) -> float:
+    """A vote as the probability of label 1."""
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, index.slope * math.log(value / (1 - value)) + index.shift))))
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine, toxic).
 
-    Null and empty texts, and texts without a feature, get the prior. Without labels of both kinds every text gets the
-    same score, 0.1 without any. Repeated rows get equal scores. Only the text is scored; an empty table gives an empty result.
+    Null and empty texts, and texts that share no feature with any example, get the score of the prior. With labels of one kind only every
+    neighbour votes alike; without any every text gets the prior, 0.1. Repeated rows get equal scores. Only the text is
+    scored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels))
@@ -223,7 +310,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scores, evidence = [], []
         for text in texts(batch.column("text")):
             value, found = vote(words, text.as_py())
-            scores.append(value)
+            scores.append(probability(index, value))
             evidence.append([{"doc_id": int(index.ids[e]), "cosine": s, "toxic": int(index.labels[e])} for s, e in found[:3]])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()),
@@ -243,7 +330,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = Lookup(shared.value)
-        clean = [vote(words, text.as_py())[0] < THRESHOLD for text in texts(batch.column("text"))]
+        clean = [probability(words.index, vote(words, text.as_py())[0]) < THRESHOLD for text in texts(batch.column("text"))]
         yield batch.filter(pa.array(clean, pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

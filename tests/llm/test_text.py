@@ -36,7 +36,8 @@ def test_toxicity_is_learned_from_the_permitted_labels(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
     assert {r.predicted for i, r in out.items() if i % 8 == 0} == {1} and {r.predicted for i, r in out.items() if i % 8} == {0}
     assert all(0 <= r.score <= 1 and (r.score >= 0.3) == r.predicted for r in out.values())
-    assert all(e.doc_id % 8 == 0 and zlib.crc32(str(e.doc_id).encode()) % 4 != 2 for r in out.values() for e in r.evidence)
+    assert all(zlib.crc32(str(e.doc_id).encode()) % 4 != 2 and e.toxic == (e.doc_id % 8 == 0) for r in out.values() for e in r.evidence)
+    assert all(e.toxic for i, r in out.items() if i % 8 == 0 for e in r.evidence)
     kept = toxicity.reject(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in out.values())
 
@@ -51,19 +52,104 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
 
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(3)
-    rows = [(e, e % 2, f"f{f}", int(rng.integers(1, 4))) for e in range(300) for f in rng.choice(12, 4, replace=False)]
-    index = toxicity.build_index(rows, {f"f{i}": 1 + i / 7 for i in range(12)}, {0: 150, 1: 150})
+    held = [(e, f"f{f}", int(rng.integers(1, 4))) for e in range(300) for f in rng.choice(12, 4, replace=False)]
+    weight = {f"f{i}": 1 + i / 7 for i in range(12)}
+    index = toxicity.build_index({e: e % 2 for e in range(300)}, weight, np.array([h[0] for h in held]), [h[1] for h in held],
+                                 np.array([h[2] for h in held]))
     dense = np.zeros((300, 12))
-    for f in range(12):
-        lo, hi = index.starts[f], index.starts[f + 1]
-        dense[index.examples[lo:hi], f] = index.weights[lo:hi]
-    for _ in range(30):
+    for e, f, n in held:
+        dense[e, index.weight[f][0]] = (1 + math.log(n)) * weight[f]
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    for turn in range(40):
         query = {int(f): float(rng.random() + 0.1) for f in rng.choice(12, 3, replace=False)}
         q = np.zeros(12)
         q[list(query)] = list(query.values())
-        exact = dense @ (q / np.linalg.norm(q))
-        found = toxicity.nearest(index, query)
-        assert np.allclose([s for s, _ in found], np.sort(exact)[::-1][:15])
+        exact = np.round(dense @ (q / np.linalg.norm(q)), 12)
+        if turn % 2:
+            exact[turn] = 0
+        found = toxicity.nearest(index, query, without=turn if turn % 2 else None)
+        assert np.allclose([s for s, _ in found], np.sort(exact)[::-1][:15], atol=1e-12)
+        assert all(np.isclose(exact[index.ids[e]], s) for s, e in found)
+
+
+def _dense_scores(texts, toxic):
+    """Score of each text by plain sums over all examples, none folded."""
+    bags = {e: toxicity.features(texts[e]) for e in toxic}
+    n, t = len(bags), sum(toxic.values())
+    df, a = Counter(), Counter()
+    for e, bag in bags.items():
+        df.update(bag.keys())
+        a.update({f: toxic[e] for f in bag})
+    weight = {}
+    for f in df:
+        if df[f] >= 2:
+            cells = [(a[f], df[f] * t / n), (df[f] - a[f], df[f] * (n - t) / n), (t - a[f], (n - df[f]) * t / n),
+                     (n - t - df[f] + a[f], (n - df[f]) * (n - t) / n)]
+            g = max(0.0, 2 * sum(o * math.log(o / x) for o, x in cells if o > 0))
+            weight[f] = (math.log((1 + n) / (1 + df[f])) + 1) * (toxicity.FLOOR + g / (g + toxicity.STRENGTH))
+
+    def unit(bag):
+        v = {f: (1 + math.log(k)) * weight[f] for f, k in bag.items() if f in weight}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / length for f, x in v.items()}
+
+    vectors = {e: unit(bag) for e, bag in bags.items()}
+    prior = (t + 0.1) / (n + 1)
+
+    def vote(text, without=None):
+        q = unit(toxicity.features(text))
+        near = sorted(((-sum(x * v.get(f, 0.0) for f, x in q.items()), e) for e, v in vectors.items() if e != without))[:toxicity.NEIGHBOURS]
+        near = [(-s, e) for s, e in near if s < 0]
+        return ((sum(s * toxic[e] for s, e in near) + toxicity.PRIOR_WEIGHT * prior)
+                / (sum(s for s, _ in near) + toxicity.PRIOR_WEIGHT))
+
+    ids = sorted(toxic)
+    slope, shift = toxicity.calibrate(np.array([vote(texts[e], e) for e in ids]), np.array([toxic[e] for e in ids]))
+    out = {}
+    for i, text in texts.items():
+        v = vote(text)
+        out[i] = 1 / (1 + math.exp(-(slope * math.log(v / (1 - v)) + shift)))
+    return out
+
+
+def test_whole_scores_against_all_examples(spark):
+    docs, labels = _labelled(spark)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()
+             if r.toxic is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    exact = _dense_scores(texts, toxic)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert found.keys() == exact.keys() and all(abs(found[i] - exact[i]) < 1e-6 for i in exact)
+
+
+def test_toxic_words_of_two_examples_each(spark):
+    """A long tail: each toxic word stands in two examples, and the other toxic texts hold several of them."""
+    learned = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    vile = [f"zq{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}x" for k in range(60)]
+    common = odd.words(300, 5)
+    rng = np.random.default_rng(8)
+    rows = {i: [common[k] for k in rng.integers(0, 300, 25)] for i in range(2000)}
+    toxic = learned[:40]
+    for k, word in enumerate(vile):
+        rows[toxic[(3 * k) % 40]].append(word)
+        rows[toxic[(3 * k + 7) % 40]].append(word)
+    others = [i for i in range(2000) if i not in set(learned)]
+    for n, i in enumerate(others[:30]):
+        rows[i] += [vile[(5 * n + 11 * m) % 60] for m in range(5)]
+    docs = odd.documents(spark, [(i, " ".join(w)) for i, w in rows.items()])
+    labels = spark.createDataFrame([(i, int(i in set(toxic))) for i in learned], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert {out[i].predicted for i in others[:30]} == {1}
+    assert sum(out[i].predicted for i in others[30:]) <= 4
+    assert len({out[i].score for i in others[30:]}) > 1
+
+
+def test_near_copies_of_an_example_teach_once(spark):
+    docs, labels = _labelled(spark)
+    copy = [(i, " ".join(odd.words(40, 7)[:39] + [f"end{i}"])) for i in range(1000, 1040)]
+    more = docs.unionByName(odd.documents(spark, copy))
+    index = toxicity.fit(more, labels.union(spark.createDataFrame([(i, 0) for i, _ in copy], "doc_id long, toxic int")))
+    assert sum(i >= 1000 for i in index.ids.tolist()) == 1
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
