@@ -4,8 +4,8 @@ Fitting takes a bounded sample of the labelled rows and folds confirmed near cop
 word beginnings of four characters, that two examples hold; the idf of a feature is multiplied by how surely it goes with either label, so
 rare and common words without bearing on the label count little but are never left out. The examples form an inverted index whose
 posting lists are cut into blocks of 64 examples with the largest weight of each block. A text finds its nearest
-examples exactly: the block maxima bound what any example of a block can reach, and blocks are read from the highest
-bound down until no bound reaches the worst of the neighbours found. Neighbours vote with their cosine as weight against the share of
+examples exactly: the block maxima bound what any example of a block can reach, the blocks of the highest bounds are
+read first, and then those whose bound reaches the worst of the neighbours found. Neighbours vote with their cosine as weight against the share of
 toxic examples, and votes become probabilities by a logistic curve fitted on the examples, each scored without itself.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,8 +40,10 @@ PULL = 1.0
 THRESHOLD = 0.3
 #: MinHash symbols by which near copies among the examples meet; at a similarity of 0.75 one pair in 65,000 meets in none.
 MARKS = 8
-#: Blocks read first; each further step reads twice as many.
-FIRST_BLOCKS = 4
+#: Blocks of the highest bounds, read first; then all that still may hold one of the nearest.
+FIRST_BLOCKS = 16
+#: Features are frequent if one example in so many holds them; texts whose frequent features are summed at once.
+FREQUENT, TOGETHER = 32, 64
 #: Words whose features a task remembers.
 REMEMBERED = 500_000
 
@@ -91,7 +94,8 @@ class Index(NamedTuple):
     """Block-max inverted index over the examples.
 
     A feature's entries, one for each block that its list touches, stand from ``starts[f]`` to ``starts[f + 1]``; an
-    entry's postings from ``at[e]`` to ``at[e + 1]``.
+    entry's postings from ``at[e]`` to ``at[e + 1]``. Features that one example in FREQUENT holds have no entries: they stand as rows of
+    ``full``, the row of each in ``rows`` (-1 for the others), and are summed for many texts by one product.
     """
 
     weight: dict[str, tuple[int, float]]  # number and weight of each feature
@@ -101,6 +105,8 @@ class Index(NamedTuple):
     at: np.ndarray
     examples: np.ndarray  # postings: example numbers and weights
     weights: np.ndarray
+    rows: np.ndarray
+    full: np.ndarray
     labels: np.ndarray  # of example numbers
     ids: np.ndarray
     prior: float
@@ -123,13 +129,20 @@ def build_index(examples: dict[int, int], weight: dict[str, float], ids: np.ndar
     place = np.empty(len(known), np.int64)
     place[order] = np.arange(len(known))
     row = place[row]
+    frequent = np.flatnonzero(np.bincount(column, minlength=len(number)) * FREQUENT >= len(known))
+    rows = np.full(len(number), -1)
+    rows[frequent] = np.arange(len(frequent))
+    often = rows[column] >= 0
+    matrix = np.zeros((len(frequent), len(known)))
+    matrix[rows[column[often]], row[often]] = held[often]
+    row, column, held = row[~often], column[~often], held[~often]
     by = np.lexsort((row, column))
     row, column, held = row[by], column[by], held[by]
     key = column * (len(known) // BLOCK + 1) + row // BLOCK
     first = np.flatnonzero(np.diff(key, prepend=-1))
     return Index({f: (i, weight[f]) for f, i in number.items()}, np.searchsorted(column[first], np.arange(len(number) + 1)),
                  (row[first] // BLOCK).astype(np.int32), np.maximum.reduceat(held, first) if len(first) else held,
-                 np.append(first, len(row)).astype(np.int64), row.astype(np.int32), held, labels[order], known[order],
+                 np.append(first, len(row)).astype(np.int64), row, held, rows, matrix, labels[order], known[order],
                  (labels.sum() + 0.1) / (len(labels) + 1))
 
 
@@ -139,37 +152,35 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
 
 
-def nearest(index: Index, query: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
+def nearest(index: Index, terms: np.ndarray, own: np.ndarray, frequent: np.ndarray, k: int = NEIGHBOURS,
+            without: int | None = None) -> list[tuple[float, int]]:
     """(cosine, example number) of the ``k`` examples of the largest cosine above 0, nearest first, ties to the smaller id.
 
-    ``without`` is the id of an example that takes no part.
+    ``terms`` and ``own`` are the text's unit vector and ``frequent`` what its frequent features give each example, which is in the
+    bounds as it is. ``without`` is the id of an example that takes no part.
     """
-    terms = np.fromiter(query, np.int64, len(query))
-    own = np.fromiter(query.values(), np.float64, len(query))
-    own = own / np.sqrt(own @ own)
     lo, hi = index.starts[terms], index.starts[terms + 1]
     entries, own = _ranges(lo, hi), np.repeat(own, hi - lo)
     blocks = index.blocks[entries]
-    bound = np.bincount(blocks, own * index.maxima[entries], len(index.ids) // BLOCK + 1)
-    order = np.argsort(-bound, kind="stable")
-    turn = np.empty(len(order), np.int64)
-    turn[order] = np.arange(len(order))
-    turn = turn[blocks]
-    scores = np.zeros(len(index.ids))
-    done, step, reach = 0, FIRST_BLOCKS, int((bound > 0).sum())
-    while done < reach:
-        now = np.flatnonzero((turn >= done) & (turn < done + step))
-        start, stop = index.at[entries[now]], index.at[entries[now] + 1]
-        postings = _ranges(start, stop)
-        scores += np.bincount(index.examples[postings], np.repeat(own[now], stop - start) * index.weights[postings], len(scores))
-        if without is not None:
-            scores[index.ids == without] = 0
-        done, step = done + step, 2 * step
-        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        if done < reach and least > 0 and bound[order[done]] < least - 1e-12:
-            break
-    least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-    found = np.flatnonzero((scores >= least) & (scores > 0))
+    bound = np.bincount(blocks, own * index.maxima[entries], (len(index.ids) - 1) // BLOCK + 1)
+    bound = bound + np.maximum.reduceat(frequent, np.arange(0, len(frequent), BLOCK))
+    # What is summed so far never exceeds a cosine, so its k-th largest is reached by the k nearest.
+    scores, unread, least = frequent.copy(), np.ones(len(bound), bool), 0.0
+    if without is not None:
+        scores[index.ids == without] = -2.0  # below what other features can make up for
+    first = np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if len(bound) > FIRST_BLOCKS else np.arange(len(bound))
+    for take in (first, None):
+        if take is None:
+            take = np.flatnonzero(unread & (bound >= least - 1e-12))
+        wanted = np.zeros(len(bound), bool)
+        wanted[take], unread[take] = True, False
+        now = np.flatnonzero(wanted[blocks])
+        held = entries[now]
+        start, end = index.at[held], index.at[held + 1]
+        postings = _ranges(start, end)
+        scores = scores + np.bincount(index.examples[postings], np.repeat(own[now], end - start) * index.weights[postings], len(scores))
+        least = max(0.0, np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
+    found = np.flatnonzero((scores >= least - 1e-12) & (scores > 0))
     found = found[np.lexsort((index.ids[found], -scores[found]))][:k]
     return [(float(scores[e]), int(e)) for e in found]
 
@@ -251,43 +262,60 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = Lookup(shared.value)
-        votes = [vote(words, text.as_py(), example.as_py())[0]
-                 for text, example in zip(texts(batch.column("text")), batch.column("example"), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+        cast = [v for v, _ in votes(words, texts(batch.column("text")).to_pylist(), batch.column("example").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(cast, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
 
     # The table has fewer rows than a task of texts usually has: it is dealt by hash to be scored side by side.
     dealt = examples.repartition(examples.sparkSession.sparkContext.defaultParallelism, "example")
-    votes = arrow_map(dealt, run, "vote double, toxic int").toArrow()
-    slope, shift = calibrate(votes.column("vote").to_numpy(), votes.column("toxic").to_numpy())
+    cast = arrow_map(dealt, run, "vote double, toxic int").toArrow()
+    slope, shift = calibrate(cast.column("vote").to_numpy(), cast.column("toxic").to_numpy())
     shared.unpersist()
     return index._replace(slope=slope, shift=shift)
 
 
 class Lookup(dict):
-    """Feature numbers and weights of a word as it stands in a text; remembers the words it has seen."""
+    """Feature numbers of a word as it stands in a text, and ``full``, the weight of each feature; remembers the words it has seen."""
 
     def __init__(self, index: Index):
         super().__init__()
         self.index = index
+        self.full = np.zeros(len(index.weight))
+        for number, weight in index.weight.values():
+            self.full[number] = weight
 
     def __missing__(self, word: str) -> tuple:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = tuple(self.index.weight[f] for f in terms(word) if f in self.index.weight)
+        self[word] = found = tuple(self.index.weight[f][0] for f in terms(word) if f in self.index.weight)
         return found
 
 
-def vote(words: Lookup, text: str, without: int | None = None) -> tuple[float, list[tuple[float, int]]]:
-    """Vote on one text and the neighbours that cast it."""
-    index, full, times = words.index, {}, {}
-    for word, n in Counter(text.lower().split()).items():
-        for f, weight in words[word]:
-            times[f] = times.get(f, 0) + n
-            full[f] = weight
-    found = nearest(index, {f: (1 + math.log(times[f])) * w for f, w in full.items()}, without=without) if full else []
-    weight = sum(s for s, _ in found)
-    toxic = sum(s * int(index.labels[e]) for s, e in found)
-    return float((toxic + PRIOR_WEIGHT * index.prior) / (weight + PRIOR_WEIGHT)), found
+def vector(words: Lookup, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and weights of a text, of length 1; empty if it shares no feature with two examples."""
+    counted = Counter(text.lower().split())
+    found = [words[word] for word in counted]
+    sizes = [len(f) for f in found]
+    terms, place = np.unique(np.array(list(chain.from_iterable(found)), np.int64), return_inverse=True)
+    times = np.bincount(place, np.repeat(np.fromiter(counted.values(), np.float64, len(counted)), sizes), len(terms))
+    own = (1 + np.log(times)) * words.full[terms]
+    return terms, own / (math.sqrt(own @ own) or 1.0)
+
+
+def votes(words: Lookup, whole: list[str], without: list[int] | None = None) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+    """Vote on each text and the neighbours that cast it."""
+    index = words.index
+    for at in range(0, len(whole), TOGETHER):
+        vectors = [vector(words, text) for text in whole[at:at + TOGETHER]]
+        often = np.zeros((len(vectors), len(index.full)))
+        for i, (terms, own) in enumerate(vectors):
+            rows = index.rows[terms]
+            often[i, rows[rows >= 0]] = own[rows >= 0]
+        often = often @ index.full
+        for i, (terms, own) in enumerate(vectors):
+            found = nearest(index, terms, own, often[i], without=without[at + i] if without else None) if len(terms) else []
+            weight = sum(s for s, _ in found)
+            toxic = sum(s * int(index.labels[e]) for s, e in found)
+            yield float((toxic + PRIOR_WEIGHT * index.prior) / (weight + PRIOR_WEIGHT)), found
 
 
 def probability(index: Index, value: float) -> float:
@@ -308,8 +336,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words, index = Lookup(shared.value), shared.value
         scores, evidence = [], []
-        for text in texts(batch.column("text")):
-            value, found = vote(words, text.as_py())
+        for value, found in votes(words, texts(batch.column("text")).to_pylist()):
             scores.append(probability(index, value))
             evidence.append([{"doc_id": int(index.ids[e]), "cosine": s, "toxic": int(index.labels[e])} for s, e in found[:3]])
         yield pa.RecordBatch.from_arrays(
@@ -330,7 +357,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = Lookup(shared.value)
-        clean = [probability(words.index, vote(words, text.as_py())[0]) < THRESHOLD for text in texts(batch.column("text"))]
+        clean = [probability(words.index, v) < THRESHOLD for v, _ in votes(words, texts(batch.column("text")).to_pylist())]
         yield batch.filter(pa.array(clean, pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

@@ -50,7 +50,9 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
     assert toxicity.score(odd.documents(spark, []), labels).count() == 0
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_nearest_examples_are_exact(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     rng = np.random.default_rng(3)
     held = [(e, f"f{f}", int(rng.integers(1, 4))) for e in range(300) for f in rng.choice(12, 4, replace=False)]
     weight = {f"f{i}": 1 + i / 7 for i in range(12)}
@@ -61,13 +63,14 @@ def test_nearest_examples_are_exact():
         dense[e, index.weight[f][0]] = (1 + math.log(n)) * weight[f]
     dense /= np.linalg.norm(dense, axis=1)[:, None]
     for turn in range(40):
-        query = {int(f): float(rng.random() + 0.1) for f in rng.choice(12, 3, replace=False)}
-        q = np.zeros(12)
-        q[list(query)] = list(query.values())
-        exact = np.round(dense @ (q / np.linalg.norm(q)), 12)
+        terms, own = rng.choice(12, 3, replace=False), rng.random(3) + 0.1
+        own /= np.linalg.norm(own)
+        exact = np.round(dense[:, terms] @ own, 12)
+        rows = index.rows[terms]
+        often = own[rows >= 0] @ index.full[rows[rows >= 0]]
         if turn % 2:
             exact[turn] = 0
-        found = toxicity.nearest(index, query, without=turn if turn % 2 else None)
+        found = toxicity.nearest(index, terms, own, often, without=turn if turn % 2 else None)
         assert np.allclose([s for s, _ in found], np.sort(exact)[::-1][:15], atol=1e-12)
         assert all(np.isclose(exact[index.ids[e]], s) for s, e in found)
 
