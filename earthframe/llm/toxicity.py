@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +95,8 @@ class Index(NamedTuple):
     """Block-max inverted index over the examples.
 
     A feature's entries, one for each block that its list touches, stand from ``starts[f]`` to ``starts[f + 1]``; an
-    entry's postings from ``at[e]`` to ``at[e + 1]``. Features that one example in FREQUENT holds have no entries: they stand as rows of
-    ``full``, the row of each in ``rows`` (-1 for the others), and are summed for many texts by one product.
+    entry's postings from ``at[e]`` to ``at[e + 1]``. Features that one example in FREQUENT hold have no entries: ``rows`` gives them a row each (-1 for the others) of the matrix that ``often`` lists (row, example,
+    weight), and are summed for many texts by one product.
     """
 
     weight: dict[str, tuple[int, float]]  # number and weight of each feature
@@ -106,12 +107,18 @@ class Index(NamedTuple):
     examples: np.ndarray  # postings: example numbers and weights
     weights: np.ndarray
     rows: np.ndarray
-    full: np.ndarray
+    often: tuple[np.ndarray, np.ndarray, np.ndarray]
     labels: np.ndarray  # of example numbers
     ids: np.ndarray
     prior: float
-    slope: float = 1.0
-    shift: float = 0.0
+
+
+class Model(NamedTuple):
+    """The index, sent to the executors once, and the calibration of its votes."""
+
+    shared: Broadcast
+    slope: float
+    shift: float
 
 
 def build_index(examples: dict[int, int], weight: dict[str, float], ids: np.ndarray, names: list[str], times: np.ndarray) -> Index:
@@ -133,8 +140,7 @@ def build_index(examples: dict[int, int], weight: dict[str, float], ids: np.ndar
     rows = np.full(len(number), -1)
     rows[frequent] = np.arange(len(frequent))
     often = rows[column] >= 0
-    matrix = np.zeros((len(frequent), len(known)))
-    matrix[rows[column[often]], row[often]] = held[often]
+    common = rows[column[often]].astype(np.int32), row[often].astype(np.int32), held[often]
     row, column, held = row[~often], column[~often], held[~often]
     by = np.lexsort((row, column))
     row, column, held = row[by], column[by], held[by]
@@ -142,10 +148,18 @@ def build_index(examples: dict[int, int], weight: dict[str, float], ids: np.ndar
     first = np.flatnonzero(np.diff(key, prepend=-1))
     return Index({f: (i, weight[f]) for f, i in number.items()}, np.searchsorted(column[first], np.arange(len(number) + 1)),
                  (row[first] // BLOCK).astype(np.int32), np.maximum.reduceat(held, first) if len(first) else held,
-                 np.append(first, len(row)).astype(np.int64), row, held, rows, matrix, labels[order], known[order],
+                 np.append(first, len(row)).astype(np.int64), row.astype(np.int32), held, rows, common, labels[order], known[order],
                  (labels.sum() + 0.1) / (len(labels) + 1))
 
 
+def matrix(index: Index) -> np.ndarray:
+    """Weights of the frequent features (rows) in all examples."""
+    row, example, weight = index.often
+    full = np.zeros((int((index.rows >= 0).sum()), len(index.ids)))
+    full[row, example] = weight
+    return full
+
+
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The numbers of all ranges ``lo[i] .. hi[i] - 1``, one after another."""
     sizes = hi - lo
@@ -231,8 +245,8 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return saved(told.join(copies, "example", "left_anti"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """The calibrated index over at most EXAMPLES labelled rows, chosen in the order of a hash of their ids.
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The index with its calibration over at most EXAMPLES labelled rows, chosen in the order of a hash of their ids.
 
     A doc_id with several labels counts as toxic if one of them says so, and of a repeated id the longest text teaches; labels other than 0
     and 1, or not of an existing row, teach nothing.
@@ -269,8 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     dealt = examples.repartition(examples.sparkSession.sparkContext.defaultParallelism, "example")
     cast = arrow_map(dealt, run, "vote double, toxic int").toArrow()
     slope, shift = calibrate(cast.column("vote").to_numpy(), cast.column("toxic").to_numpy())
-    shared.unpersist()
-    return index._replace(slope=slope, shift=shift)
+    return Model(shared, slope, shift)
 
 
 class Lookup(dict):
@@ -279,6 +292,7 @@ class Lookup(dict):
     def __init__(self, index: Index):
         super().__init__()
         self.index = index
+        self.often = matrix(index)
         self.full = np.zeros(len(index.weight))
         for number, weight in index.weight.values():
             self.full[number] = weight
@@ -306,11 +320,11 @@ def votes(words: Lookup, whole: list[str], without: list[int] | None = None) ->
     index = words.index
     for at in range(0, len(whole), TOGETHER):
         vectors = [vector(words, text) for text in whole[at:at + TOGETHER]]
-        often = np.zeros((len(vectors), len(index.full)))
+        often = np.zeros((len(vectors), len(words.often)))
         for i, (terms, own) in enumerate(vectors):
             rows = index.rows[terms]
             often[i, rows[rows >= 0]] = own[rows >= 0]
-        often = often @ index.full
+        often = often @ words.often
         for i, (terms, own) in enumerate(vectors):
             found = nearest(index, terms, own, often[i], without=without[at + i] if without else None) if len(terms) else []
             weight = sum(s for s, _ in found)
@@ -318,9 +332,9 @@ def votes(words: Lookup, whole: list[str], without: list[int] | None = None) ->
             yield float((toxic + PRIOR_WEIGHT * index.prior) / (weight + PRIOR_WEIGHT)), found
 
 
-def probability(index: Index, value: float) -> float:
+def probability(slope: float, shift: float, value: float) -> float:
     """A vote as the probability of label 1."""
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, index.slope * math.log(value / (1 - value)) + index.shift))))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, slope * math.log(value / (1 - value)) + shift))))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -330,14 +344,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     neighbour votes alike; without any every text gets the prior, 0.1. Repeated rows get equal scores. Only the text is
     scored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(docs, labels))
+    shared, slope, shift = fit(docs, labels)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words, index = Lookup(shared.value), shared.value
         scores, evidence = [], []
         for value, found in votes(words, texts(batch.column("text")).to_pylist()):
-            scores.append(probability(index, value))
+            scores.append(probability(slope, shift, value))
             evidence.append([{"doc_id": int(index.ids[e]), "cosine": s, "toxic": int(index.labels[e])} for s, e in found[:3]])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()),
@@ -353,11 +366,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their own columns, that score below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared, slope, shift = fit(docs, labels)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = Lookup(shared.value)
-        clean = [probability(words.index, v) < THRESHOLD for v, _ in votes(words, texts(batch.column("text")).to_pylist())]
+        clean = [probability(slope, shift, v) < THRESHOLD for v, _ in votes(words, texts(batch.column("text")).to_pylist())]
         yield batch.filter(pa.array(clean, pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

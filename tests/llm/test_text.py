@@ -67,7 +67,7 @@ def test_nearest_examples_are_exact(monkeypatch, frequent):
         own /= np.linalg.norm(own)
         exact = np.round(dense[:, terms] @ own, 12)
         rows = index.rows[terms]
-        often = own[rows >= 0] @ index.full[rows[rows >= 0]]
+        often = own[rows >= 0] @ toxicity.matrix(index)[rows[rows >= 0]]
         if turn % 2:
             exact[turn] = 0
         found = toxicity.nearest(index, terms, own, often, without=turn if turn % 2 else None)
@@ -151,8 +151,8 @@ def test_near_copies_of_an_example_teach_once(spark):
     docs, labels = _labelled(spark)
     copy = [(i, " ".join(odd.words(40, 7)[:39] + [f"end{i}"])) for i in range(1000, 1040)]
     more = docs.unionByName(odd.documents(spark, copy))
-    index = toxicity.fit(more, labels.union(spark.createDataFrame([(i, 0) for i, _ in copy], "doc_id long, toxic int")))
-    assert sum(i >= 1000 for i in index.ids.tolist()) == 1
+    model = toxicity.fit(more, labels.union(spark.createDataFrame([(i, 0) for i, _ in copy], "doc_id long, toxic int")))
+    assert sum(i >= 1000 for i in model.shared.value.ids.tolist()) == 1
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
