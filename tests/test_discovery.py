@@ -80,3 +80,10 @@ def test_execution_shuffles_no_pairs(spark):
     total = catalog.execute(windows, scenes).agg(F.sum("scenes_matched")).first()[0]
     assert total == 900_000
     assert written() - before < 2_000_000
+
+
+def test_broken_requests_leave_before_pairs_are_made(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["j6_discover_beside_broken"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join Inner") < plan.index("LeftAnti")
