@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earthframe.functions import questions as Q
+from earthframe.lineage import cut
+
+
+def read_once(rows: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``read`` gives for their text, from reading each distinct text once.
+
+    ``read`` takes a table of distinct texts and returns one row for each, with its ``text``. Reading costs milliseconds a text, so
+    the few distinct texts of a large table are dealt to all tasks by number and not by size.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = cut(rows.select("text").distinct().repartition(tasks, "text"))  # or a filter on what is read would run on all rows
+    known = read(texts).withColumnRenamed("text", "_read")
+    return rows.join(known, rows["text"].eqNullSafe(known["_read"])).drop("_read")
+
+
+def read_places(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``texts`` with the place that each distinct text names."""
+    named = mentioned_place(texts.select(F.col("text").alias("question_id"), "text"), gazetteer)
+    named = named.select(F.col("question_id").alias("_named"), "place", "status")
+    return texts.join(named, texts["text"].eqNullSafe(named["_named"])).drop("_named")
 
 
 def mentioned_place(questions: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -35,9 +57,13 @@ def mentioned_place(questions: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def read_questions(questions: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """question_id, text, place, flags, dates and the masked text a classifier sees."""
-    placed = questions.join(mentioned_place(questions, gazetteer), "question_id")
+    return read_once(questions, lambda texts: read_texts(texts, gazetteer))
+
+
+def read_texts(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``texts`` (distinct) with place, status, flags, dates and the masked text."""
     return (
-        placed.withColumn("flags", Q.question_flags(F.col("text")))
+        read_places(texts, gazetteer).withColumn("flags", Q.question_flags(F.col("text")))
         .withColumn("dates", Q.extract_dates(F.col("text")))
         .withColumn("masked", Q.mask_slots(F.col("text"), F.col("place")))
     )

@@ -79,10 +79,12 @@ _DATES = [
 SELECT question_id, {_case(_DATES)} AS dates, CASE WHEN t IN (3, 10) THEN '' WHEN t = 1 THEN y || ',' || (y + 1) WHEN t IN (4, 8) THEN y || ',' || y ELSE CAST(y AS VARCHAR) END AS years FROM questions
 """)
 def date_expressions(spark, sf):
-    d = questions(spark, sf).select("question_id", Q.extract_dates(F.col("text")).alias("d"))
-    return d.select(
-        "question_id", F.array_join(F.transform("d", lambda e: e["text"]), "|").alias("dates"),
-        F.array_join(F.transform("d", lambda e: e["year"].cast("string")), ",").alias("years"))
+    def read(texts):
+        return texts.select("text", Q.extract_dates(F.col("text")).alias("d")).select(
+            "text", F.array_join(F.transform("d", lambda e: e["text"]), "|").alias("dates"),
+            F.array_join(F.transform("d", lambda e: e["year"].cast("string")), ",").alias("years"))
+
+    return O.read_once(questions(spark, sf), read).drop("text")
 
 
 _FIRST = ["make_date(y, mm, 1)", "make_date(y, 1, 1)", "make_date(y, 1, 15)", None, "make_date(y, 1, 5)",
@@ -97,18 +99,20 @@ _LAST = ["last_day(make_date(y, mm, 1))", "make_date(y, 1, 31)", "make_date(y, 1
 SELECT question_id, CAST({_case(_FIRST)} AS VARCHAR) AS start_date, CAST({_case(_LAST)} AS VARCHAR) AS end_date FROM questions WHERE t NOT IN (3, 10)
 """)
 def date_interval(spark, sf):
-    d = questions(spark, sf).select("question_id", F.get(
-        Q.extract_dates(F.col("text")), F.lit(0)).alias("e")).where(F.col("e").isNotNull())
-    return d.select("question_id", Q.date_interval(F.col("e")).alias("i")).select(
-        "question_id", F.col("i.start_date").cast("string").alias("start_date"),
-        F.col("i.end_date").cast("string").alias("end_date"))
+    def read(texts):
+        d = texts.select("text", F.get(Q.extract_dates(F.col("text")), F.lit(0)).alias("e")).where(F.col("e").isNotNull())
+        return d.select("text", Q.date_interval(F.col("e")).alias("i")).select(
+            "text", F.col("i.start_date").cast("string").alias("start_date"),
+            F.col("i.end_date").cast("string").alias("end_date"))
+
+    return O.read_once(questions(spark, sf), read).drop("text")
 
 
 @query("f20_mentioned_place", """
 SELECT question_id, CASE WHEN t <> 3 THEN p_name END AS place, CASE WHEN t = 3 THEN 'missing' ELSE 'found' END AS status FROM questions
 """)
 def mentioned_place(spark, sf):
-    return O.mentioned_place(questions(spark, sf), gazetteer(spark, sf))
+    return O.read_once(questions(spark, sf), lambda texts: O.read_places(texts, gazetteer(spark, sf))).drop("text")
 
 
 _UNSUPPORTED = ["NULL"] * 12
@@ -120,11 +124,13 @@ SELECT question_id, {_case([f"'{m}'" for m in _MEASURED])} AS measured, {_case(_
  t = 1 AS comparison, t = 9 AS visual, t IN (0, 2, 3, 6, 7, 11) AS asks_to_measure, t = 11 AS imagery FROM questions
 """)
 def question_flags(spark, sf):
-    f = questions(spark, sf).select("question_id", Q.question_flags(F.col("text")).alias("f"))
-    return f.select(
-        "question_id", F.array_join("f.measured", ",").alias("measured"), "f.unsupported",
-        "f.comparison", "f.visual", "f.asks_to_measure",
-        F.array_contains("f.analyses", "imagery").alias("imagery"))
+    def read(texts):
+        return texts.select("text", Q.question_flags(F.col("text")).alias("f")).select(
+            "text", F.array_join("f.measured", ",").alias("measured"), "f.unsupported",
+            "f.comparison", "f.visual", "f.asks_to_measure",
+            F.array_contains("f.analyses", "imagery").alias("imagery"))
+
+    return O.read_once(questions(spark, sf), read).drop("text")
 
 
 _MASKED = [
@@ -139,9 +145,10 @@ _MASKED = [
 
 @query("f23_slot_masking", f"SELECT question_id, {_case([repr(m) for m in _MASKED])} AS masked FROM questions")
 def slot_masking(spark, sf):
-    q = questions(spark, sf)
-    placed = q.join(O.mentioned_place(q, gazetteer(spark, sf)), "question_id")
-    return placed.select("question_id", Q.mask_slots(F.col("text"), F.col("place")).alias("masked"))
+    def read(texts):
+        return O.read_places(texts, gazetteer(spark, sf)).select("text", Q.mask_slots(F.col("text"), F.col("place")).alias("masked"))
+
+    return O.read_once(questions(spark, sf), read).drop("text")
 
 
 sql_view("routed", f"""
@@ -165,17 +172,19 @@ def operation_routing(spark, sf):
               "CLARIFICATION", "UNSUPPORTED")
     k = F.col("question_id")
     label = F.get(F.array(*[F.lit(v) for v in labels]), (k % 9).cast("int"))
-    r = questions(spark, sf).select("question_id", Q.question_flags(F.col("text")).alias("flags"))
+    r = O.read_once(questions(spark, sf), lambda texts: texts.select("text", Q.question_flags(F.col("text")).alias("flags")))
     out = Q.route_operation(label, (k % 100).cast("double") / 100, 0.3, F.col("flags"))
     return r.select("question_id", out.alias("r")).select("question_id", "r.source", "r.reason")
 
 
 @query("f25_clarification", f"SELECT question_id, {_case([None if r is None else repr(r) for r in _REASON])} AS reason FROM questions")
 def clarification(spark, sf):
-    r = O.read_questions(questions(spark, sf), gazetteer(spark, sf))
-    return r.select("question_id", Q.clarify(
-        F.col("text"), F.col("flags"), F.col("place"), F.col("dates"),
-        F.lit("2024-12-31").cast("date")).alias("reason"))
+    def read(texts):
+        return O.read_texts(texts, gazetteer(spark, sf)).select("text", Q.clarify(
+            F.col("text"), F.col("flags"), F.col("place"), F.col("dates"),
+            F.lit("2024-12-31").cast("date")).alias("reason"))
+
+    return O.read_once(questions(spark, sf), read).drop("text")
 
 
 @query("f25_suggested_question", """
@@ -214,10 +223,12 @@ def plan_completion(spark, sf):
 SELECT question_id, CASE WHEN t = 3 THEN text ELSE replace(text, p_name, 'this area') END AS text FROM questions
 """)
 def place_removal(spark, sf):
-    q = questions(spark, sf)
-    placed = q.join(O.mentioned_place(q, gazetteer(spark, sf)), "question_id")
     full = F.concat(F.col("place"), F.lit(", "), F.col("place"))
-    return placed.select("question_id", Q.remove_place(F.col("text"), full).alias("text"))
+
+    def read(texts):
+        return O.read_places(texts, gazetteer(spark, sf)).select("text", Q.remove_place(F.col("text"), full).alias("shorter"))
+
+    return O.read_once(questions(spark, sf), read).select("question_id", F.col("shorter").alias("text"))
 
 
 @query("f28_period_formatting", """

@@ -10,6 +10,7 @@ from earthframe.functions import claims as T
 from earthframe.functions import questions as Q
 from earthframe.functions.rules import first_failure
 from earthframe.functions.times import separation_days
+from earthframe.operators import questions as O
 from earthframe.operators import radiometry as R
 from earthframe.operators import requests as V
 from earthframe.streaming.admission import admit_batch, admit_stream
@@ -131,3 +132,19 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     got = {(r.minute, r.n, r.total_ms) for r in spark.table("stages").collect()}
     batch = {(r.minute, r.n, r.total_ms) for r in stage_stream(log).collect()}
     assert got <= batch and len(batch - got) <= 1
+
+
+def test_each_distinct_text_is_read_once(spark):
+    """Rows that repeat five texts and a null: reading costs six rows, also under a filter on what is read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def size(text):
+        reads.add(1)
+        return None if text is None else len(text)
+
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 6 > 0, F.repeat(F.lit("a"), (F.col("id") % 6).cast("int"))).alias("text"))
+    read = O.read_once(rows, lambda texts: texts.select("text", size("text").alias("n")))
+    got = {r.id: r.n for r in read.where("n IS NULL OR n > 1").collect()}
+    assert got == {i: i % 6 or None for i in range(2000) if i % 6 != 1}
+    assert reads.value <= 12
