@@ -214,33 +214,39 @@ def _meet(signatures: DataFrame, queries: DataFrame, mean: tuple[int, int], k: i
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct terms of each text with their frequencies."""
+    """Distinct terms of each text with their frequencies, beside the queries that asked for it."""
     for batch in batches:
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
             found = [Counter(_SPLIT.split(t.as_py().translate(_FOLD))) for t in part.column("text")]
             for terms in found:
                 terms.pop("", None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("_doc"), part.column("_tag"), pa.array([sum(t.values()) for t in found], pa.int64()),
+                [*(part.column(n) for n in _ASKED), pa.array([sum(t.values()) for t in found], pa.int64()),
                  pa.array([[{"term": k, "tf": n} for k, n in t.items()] for t in found], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))],
-                ["_doc", "_tag", "n", "terms"])
+                [*_ASKED, "n", "terms"])
 
 
-def _exact(texts: DataFrame, pairs: DataFrame, weights: DataFrame, mean: tuple[int, int]) -> DataFrame:
+_ASKED = ("_doc", "_tag", "copies", "queries")
+
+
+def _exact(texts: DataFrame, pairs: DataFrame, weights: DataFrame, mean: tuple[int, int], many: bool = False) -> DataFrame:
     """(query, _doc, _tag, copies, score): exact scores above 0 of pairs (query, _doc, _tag), from whole texts and terms.
 
-    A text meets its queries as one row of counted terms; terms are spread only then, and added up again before any shuffle.
+    A text meets its queries as one row: it is shuffled once where there are ``many`` pairs, and not at all where they are few. What
+    is counted in it is spread where it stands, and added up again before any shuffle.
     """
-    own = pairs.select("query", "_doc", "_tag").distinct()
-    rows = texts.join(own.select("_doc", "_tag").distinct(), ["_doc", "_tag"], "left_semi")
-    copies = rows.groupBy("_doc", "_tag").agg(F.count("*").alias("copies"))
-    counted = rows.mapInArrow(_counts, "_doc bigint, _tag bigint, n bigint, terms array<struct<term: string, tf: bigint>>")
+    own = pairs.groupBy("_doc", "_tag").agg(F.collect_set("query").alias("queries"))
+    copies = texts.groupBy("_doc", "_tag").agg(F.count("*").alias("copies"))  # without the texts
+    own = own.join(copies, ["_doc", "_tag"])
+    rows = texts.join(own.hint("merge") if many else own, ["_doc", "_tag"]).select(*_ASKED, "text")
+    counted = rows.mapInArrow(_counts, "_doc bigint, _tag bigint, copies bigint, queries array<bigint>, n bigint, "
+                                       "terms array<struct<term: string, tf: bigint>>")
     m = F.lit(100 - BASE_PART) + F.expr(f"({LENGTH_PART}L * n * {mean[0]}L) div {mean[1]}L")
-    met = (counted.withColumn("m", m).join(own, ["_doc", "_tag"]).select("query", "_doc", "_tag", "m", F.inline("terms"))
-           .join(weights, ["query", "term"]))
+    met = (counted.withColumn("m", m).select("_doc", "_tag", "copies", "m", "terms", F.explode("queries").alias("query"))
+           .select("query", "_doc", "_tag", "copies", "m", F.inline("terms")).join(weights, ["query", "term"]))
     part = F.expr(f"weight * (({ONE}L * tf) div (1000L * tf + {HALF}L * m))")
     # repeated rows have one key and one text, so each of them has its share of the sum
-    return (met.groupBy("query", "_doc", "_tag").agg(F.sum(part).alias("total")).join(copies, ["_doc", "_tag"])
+    return (met.groupBy("query", "_doc", "_tag", "copies").agg(F.sum(part).alias("total"))
             .select("query", "_doc", "_tag", "copies", F.expr("total div copies").alias("score")).where("score > 0"))
 
 
@@ -305,7 +311,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     best = Window.partitionBy("query").orderBy(F.desc("score"), "_doc", "_tag").rowsBetween(Window.unboundedPreceding, 0)
     floors = (known.withColumn("reached", F.sum("copies").over(best)).where(F.col("reached") >= k).groupBy("query").agg(F.max("score").alias("floor")))
     rest = saved(_meet(signatures, _packed(weights, floors), mean, 2**31 - 1).select("query", "_doc", "_tag"))
-    found = _exact(texts, rest, spread, mean)
+    found = _exact(texts, rest, spread, mean, many=True)
     final = Window.partitionBy("query").orderBy(F.desc("score"), "_doc", "_tag", "copy")
     ranked = (found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k).cast("bigint")))))
               .withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k))
