@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ BITS_A_PAIR, PROBES = 16, 6
 #: Largest frequency of each class; the last one is open.
 CLASSES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256])
 TOP = 50
+#: Weights of terms of queries that are broadcast at once, on average.
+WEIGHTS = 1 << 17
 #: Documents of the highest bounds that a query's first pass scores, in multiples of those asked for.
 FIRST = 3
 #: Fixed values of the ranking formula.
@@ -233,8 +236,19 @@ def _exact(texts: DataFrame, pairs: DataFrame, weights: DataFrame, mean: tuple[i
     """(query, _doc, _tag, copies, score): exact scores above 0 of pairs (query, _doc, _tag), from whole texts and terms.
 
     A text meets its queries as one row: it is shuffled once where there are ``many`` pairs, and not at all where they are few. What
-    is counted in it is spread where it stands, and added up again before any shuffle.
+    is counted in it is spread where it stands, and added up again before any shuffle. Queries are taken in parts of about WEIGHTS
+    terms, whose weights are broadcast.
     """
+    parts = max(1, -(-weights.count() // WEIGHTS))
+    if parts > 1:
+        def part(df: DataFrame, p: int) -> DataFrame:
+            return df.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p)
+
+        return reduce(DataFrame.union, [_exact_part(texts, part(pairs, p), part(weights, p), mean, many) for p in range(parts)])
+    return _exact_part(texts, pairs, weights, mean, many)
+
+
+def _exact_part(texts: DataFrame, pairs: DataFrame, weights: DataFrame, mean: tuple[int, int], many: bool) -> DataFrame:
     own = pairs.groupBy("_doc", "_tag").agg(F.collect_set("query").alias("queries"))
     copies = texts.groupBy("_doc", "_tag").agg(F.count("*").alias("copies"))  # without the texts
     own = own.join(copies, ["_doc", "_tag"])
@@ -243,7 +257,7 @@ def _exact(texts: DataFrame, pairs: DataFrame, weights: DataFrame, mean: tuple[i
                                        "terms array<struct<term: string, tf: bigint>>")
     m = F.lit(100 - BASE_PART) + F.expr(f"({LENGTH_PART}L * n * {mean[0]}L) div {mean[1]}L")
     met = (counted.withColumn("m", m).select("_doc", "_tag", "copies", "m", "terms", F.explode("queries").alias("query"))
-           .select("query", "_doc", "_tag", "copies", "m", F.inline("terms")).join(weights, ["query", "term"]))
+           .select("query", "_doc", "_tag", "copies", "m", F.inline("terms")).join(F.broadcast(weights), ["query", "term"]))
     part = F.expr(f"weight * (({ONE}L * tf) div (1000L * tf + {HALF}L * m))")
     # repeated rows have one key and one text, so each of them has its share of the sum
     return (met.groupBy("query", "_doc", "_tag", "copies").agg(F.sum(part).alias("total"))

@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from earthframe.llm import bytesets as bs
 from earthframe.llm import lexical_search, secret_tags, whitening
@@ -60,6 +61,25 @@ def test_search_equals_brute_force(spark):
     assert not _found(spark, odd.documents(spark), [], 5)
 
 
+def test_terms_are_not_shuffled_to_their_weights(spark, monkeypatch):
+    """Texts are counted and met with weights in one stage, whatever Spark would broadcast by itself; parts of queries change nothing."""
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7} w{i % 3} alpha") for i in range(90)], "doc_id long, text string")
+    texts = lexical_search.keyed(docs).select("_doc", "_tag", "text")
+    weights = spark.createDataFrame([(q, t, 10 + q) for q in range(6) for t in ("alpha", f"w{q}", "beta")], "query long, term string, weight long")
+    pairs = texts.select("_doc", "_tag").crossJoin(spark.range(6).select(F.col("id").alias("query")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = lexical_search._exact(texts, pairs, weights, (90, 450), many=True)
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        between = plan[:plan.index("MapInArrow")]
+        assert "BroadcastHashJoin" in between and "SortMergeJoin" not in between
+        rows = sorted(whole.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(lexical_search, "WEIGHTS", 5)
+    assert len(rows) == 540 and sorted(lexical_search._exact(texts, pairs, weights, (90, 450)).collect()) == rows
+
+
 def test_bounds_never_fall_short():
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, rng.integers(1, 400)) % 500) for _ in range(200)]
