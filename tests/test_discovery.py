@@ -87,3 +87,19 @@ def test_broken_requests_leave_before_pairs_are_made(spark, sf_dir):
 
     plan = entry.queries()["j6_discover_beside_broken"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.index("Join Inner") < plan.index("LeftAnti")
+
+
+def test_searches_take_every_hundredth_request_against_all_scenes(spark):
+    """What is returned grows with the scenes times a hundredth of the requests; none of those requests loses a scene."""
+    import __spark_entry__ as entry
+    from earthframe.operators import catalog as C
+    from earthframe.plans import views as V
+
+    sf_dir = "/root/testdata/sf0.01"
+    every = C.discover(V.windows(spark, sf_dir), V.scenes(spark, sf_dir)).select("request_id", "modality", "label", "id")
+    wanted = sorted(tuple(r) for r in every.where("request_id % 100 = 0").collect())
+    for name in ("j6_discover", "p6_p7_p8_boxes"):
+        found = entry.queries()[name](spark, sf_dir)
+        assert {r.request_id % 100 for r in found.select("request_id").distinct().collect()} == {0}
+        if name == "j6_discover":
+            assert wanted and sorted(tuple(r) for r in found.select("request_id", "modality", "label", "id").collect()) == wanted
