@@ -110,18 +110,23 @@ def nesting(coarse: Column, fine: Column) -> Column:
 
 def general(value: Column) -> Column:
     """A number at six significant digits without trailing zeros (C ``%g``)."""
-    scientific = F.format_string("%.5e", value)
-    power = F.regexp_extract(scientific, r"e([-+]\d+)$", 1)
-    digits = F.regexp_replace(F.regexp_extract(scientific, r"^(-?[0-9.]+)e", 1), r"\.?0+$", "")
-
-    def plain(places: Column) -> Column:
-        text = F.printf(F.concat(F.lit("%."), F.greatest(places, F.lit(0)).cast("string"), F.lit("f")), value)
-        return F.when(places > 0, F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-
-    exponent = F.when(power != "", power.cast("int"))
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")),
-                  F.replace(F.lower(value.cast("string")), F.lit("infinity"), F.lit("inf"))).otherwise(
-        F.when((exponent < -4) | (exponent >= 6), F.concat(digits, F.lit("e"), power)).otherwise(plain(5 - exponent)))
+    def written(scientific: Column) -> Column:
+        power = F.regexp_extract(scientific, r"e([-+]\d+)$", 1)
+        digits = F.regexp_replace(F.regexp_extract(scientific, r"^(-?[0-9.]+)e", 1), r"\.?0+$", "")
+
+        def plain(places: Column) -> Column:
+            text = F.printf(F.concat(F.lit("%."), F.greatest(places, F.lit(0)).cast("string"), F.lit("f")), value)
+            return F.when(places > 0, F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+        return let(F.when(power != "", power.cast("int")), lambda exponent: F.when(
+            (exponent < -4) | (exponent >= 6), F.concat(digits, F.lit("e"), power)).otherwise(plain(F.lit(5) - exponent)))
+
+    # whole numbers of six digits at most, the common case, are written as they are
+    return F.when(value == 0.0, F.when(value.cast("string").startswith("-"), "-0").otherwise("0")).when(
+        (F.abs(value) < 1e6) & (value == F.rint(value)), value.cast("bigint").cast("string")).when(
+        F.isnan(value) | (F.abs(value) == float("inf")),
+        F.replace(F.lower(value.cast("string")), F.lit("infinity"), F.lit("inf"))).otherwise(
+        let(F.format_string("%.5e", value), written))
 
 
 def grid_id(g: Column) -> Column:
