@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def nfkd(text: pd.Series) -> pd.Series:
-    """Unicode compatibility decomposition, one Arrow batch at a time."""
-    return text.str.normalize("NFKD")
+@F.arrow_udf(StringType())
+def nfkd(text: pa.Array) -> pa.Array:
+    """Unicode compatibility decomposition of Arrow text, without a Python string for each row."""
+    return pc.utf8_normalize(text, form="NFKD")
 
 
 def slug(text: Column) -> Column:
