@@ -44,6 +44,11 @@ def union_evidence(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merged, twice
 
 
+def join_evidence(*parts: Column) -> Column:
+    """Evidence of one run in one array, parts in order: what :func:`union_evidence` is for rows."""
+    return F.concat(*parts)
+
+
 def fixed_report(evidence: DataFrame, runs: DataFrame) -> DataFrame:
     """One fixed-sentence answer per run from its evidence, else the abstention.
 

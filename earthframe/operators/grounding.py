@@ -1,8 +1,8 @@
 """Does every number and sentence of an answer trace to its own cited evidence?
 
-Evidence: run_id, pos, id, source, name, value, unit, text, observations (array of
-``{scene_id, acquired, label}``). Answers: run_id, summary, refs. Runs: run_id, location,
-scene_ids, dates. Everything is keyed by run; a run is one answer, so arrays stay small.
+A run is one answer, so what belongs to it stays in its row: run_id, summary, refs, location, scene_ids, dates and
+``evidence``, an array of ``{id, source, value, unit, observations, says}``: arrays of ``{scene_id, acquired, label}``, and what
+:func:`describe` tells. Runs are read row by row and meet no other run. Evidence that comes as rows is put beside its answers by :func:`pack_runs`.
 """
 
 from __future__ import annotations
@@ -23,43 +23,59 @@ CAVEAT_ID = r"\.(?:warning|limitation)\.\d+$"
 ROLES = ("first", "second", "earlier", "later", "baseline", "target")
 
 
-def cited_evidence(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence rows an answer cites."""
-    refs = answers.select("run_id", F.explode("refs").alias("id")).distinct()
-    return evidence.join(refs, ["run_id", "id"], "left_semi")
+_NO_TEXT = "array<string>"
 
 
-def unresolved_refs(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Cited ids that no evidence row carries."""
-    refs = answers.select("run_id", F.explode("refs").alias("id")).distinct()
-    return refs.join(evidence.select("run_id", "id"), ["run_id", "id"], "left_anti")
-
-
-def citable_values(evidence: DataFrame) -> DataFrame:
-    """Measurements a claim may bind to: metric set, statistic and the unit they must have."""
-    source, name = F.col("source"), F.col("name")
-    own = T.metrics_in(F.replace(name, F.lit("_"), F.lit(" ")))
-    rows = evidence.where(
-        F.col("value").isNotNull() & source.isin(*AUTHORITIES)
-        & F.col("id").startswith(F.concat(source, F.lit(".")))
-    ).withColumn("_own", own).withColumn("kind", T.stat_kind(name))
+def _citable(ident: Column, source: Column, name: Column, unit: Column, own: Column, kind: Column) -> Column:
+    """Whether a claim may bind to a measurement: its metrics fit its source, and its unit its statistic."""
     fits = (
-        (F.size("_own") == 0) | F.array_contains("_own", source)
-        | ((source == "temporal_ndwi") & (F.array_join("_own", ",") == "ndwi"))
+        (F.size(own) == 0) | F.array_contains(own, source)
+        | ((source == "temporal_ndwi") & (F.array_join(own, ",") == "ndwi"))
         | ((source == "sar_backscatter")
-           & (F.size(F.array_except("_own", F.array(F.lit("vv"), F.lit("vh")))) == 0)))
-    paired = (name == "paired_valid_pixel_count") & (source == "temporal_ndwi")
+           & (F.size(F.array_except(own, F.array(F.lit("vv"), F.lit("vh")))) == 0)))
     expected = (
-        F.when(F.col("kind") == "percent", "%")
-        .when(F.col("kind").isin("pixels", "paired_pixels"), "pixels")
-        .when(F.col("kind") == "scenes", "count")
+        F.when(kind == "percent", "%").when(kind.isin("pixels", "paired_pixels"), "pixels").when(kind == "scenes", "count")
         .when(source == "sar_backscatter", "dB").otherwise("index"))
-    return (
-        rows.where(fits & (F.col("unit") == expected)
-                   & ((source != "sar_backscatter") | name.isin(*SAR_NAMES)))
-        .withColumn("metrics", F.when(paired, F.lit("ndwi")).otherwise(F.array_join("_own", ",")))
-        .drop("_own")
-    )
+    return F.coalesce(
+        source.isin(*AUTHORITIES) & ident.startswith(F.concat(source, F.lit("."))) & fits & (unit == expected)
+        & ((source != "sar_backscatter") | name.isin(*SAR_NAMES)), F.lit(False))
+
+
+def describe(ident: Column, source: Column, name: Column, unit: Column, text: Column) -> Column:
+    """What a kind of evidence lets an answer say, whatever its value.
+
+    ``kind``, ``metrics`` and ``citable`` (statistic, metrics, and whether a claim may bind to the value); ``quoting`` (whether
+    sentences may be repeated), ``quotes``, those of its text normalised, and ``caveats``, exact ones.
+    """
+    name, unit, text = name.cast("string"), unit.cast("string"), text.cast("string")
+    paired = (name == "paired_valid_pixel_count") & (source == "temporal_ndwi")
+    sentences = F.filter(T.split_sentences(F.coalesce(text, F.lit(""))), lambda s: F.trim(s) != "")
+    quoting, none = F.coalesce(source.isin(*AUTHORITIES, "model"), F.lit(False)), F.array().cast(_NO_TEXT)
+    own, kind = T.metrics_in(F.replace(name, F.lit("_"), F.lit(" "))), T.stat_kind(name)
+    return F.struct(
+        kind.alias("kind"), F.when(paired, F.lit("ndwi")).otherwise(F.array_join(own, ",")).alias("metrics"),
+        _citable(ident, source, name, unit, own, kind).alias("citable"), quoting.alias("quoting"),
+        F.when(quoting, F.transform(sentences, T.words)).otherwise(none).alias("quotes"),
+        F.when(quoting & (source != "model") & ident.rlike(CAVEAT_ID), F.transform(sentences, T.verbatim)).otherwise(none).alias("caveats"))
+
+
+def pack_runs(answers: DataFrame, evidence: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs as this module reads them, from tables: answers (run_id, summary, refs), evidence rows (run_id, pos, id, source, name, value,
+    unit, text, observations) and runs (run_id, location, scene_ids, dates)."""
+    says = describe(*[F.col(c) for c in ("id", "source", "name", "unit", "text")])
+    held = evidence.withColumn("says", says).groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "id", "source", "value", "unit", "observations", "says"))).alias("evidence"))
+    return answers.join(runs, "run_id").join(held, "run_id", "left")
+
+
+def _cited() -> Column:
+    return F.filter("evidence", lambda e: F.array_contains("refs", e["id"]))
+
+
+def unresolved_refs(runs: DataFrame) -> DataFrame:
+    """Cited ids that no evidence of the run carries."""
+    known = F.coalesce(F.transform("evidence", lambda e: e["id"]), F.array().cast(_NO_TEXT))
+    return runs.select("run_id", F.explode(F.array_except("refs", known)).alias("id"))
 
 
 def split_answers(answers: DataFrame) -> DataFrame:
@@ -72,22 +88,64 @@ def split_answers(answers: DataFrame) -> DataFrame:
     ).where(F.trim("clause") != "")
 
 
-def read_clauses(answers: DataFrame, runs: DataFrame) -> DataFrame:
-    """Clauses with their numbers, invented identifiers and everything a claim states."""
-    clause = F.col("clause")
-    present = F.filter("scene_ids", lambda i: clause.contains(i))
-    read = (
-        split_answers(answers).join(runs.select("run_id", "location", "scene_ids", "dates"), "run_id")
-        .withColumn("_ids", present)
+def _clauses(summary: Column) -> Column:
+    """Clauses with their sentence and both positions; blank ones dropped."""
+    return F.flatten(F.transform(T.split_sentences(summary), lambda s, i: F.filter(
+        F.transform(T.split_clauses(s), lambda c, j: F.struct(i.alias("s_pos"), s.alias("sentence"), j.alias("c_pos"), c.alias("clause"))),
+        lambda x: F.trim(x["clause"]) != "")))
+
+
+def quotable(cited: Column) -> Column:
+    """Struct of normalised sentences a citation lets an answer repeat (``quoted``) and exact caveats (``caveats``)."""
+    seen = F.array_distinct(F.flatten(F.transform(F.filter(cited, lambda e: e["says"]["quoting"] & e["observations"].isNotNull()), lambda e: e["observations"])))
+    facts = F.flatten(F.transform(seen, lambda o: F.array_compact(F.array(
+        F.concat(F.lit("Scene "), o["scene_id"], F.lit(" was selected.")),
+        F.when(o["acquired"] != "", F.concat(F.lit("The scene was acquired on "), o["acquired"], F.lit(".")))))))
+    return F.struct(
+        F.concat(F.flatten(F.transform(cited, lambda e: e["says"]["quotes"])), F.transform(facts, T.words)).alias("quoted"),
+        F.flatten(F.transform(cited, lambda e: e["says"]["caveats"])).alias("caveats"))
+
+
+def read_clauses(runs: DataFrame, *keep: str) -> DataFrame:
+    """Clauses with their numbers and invented identifiers; ``exempt`` (repeats a cited caveat exactly) and ``quoted_ok`` (needs no numbers).
+
+    A run without clauses has one row without any. ``values``: cited measurements a claim may bind to. ``keep``: further columns of ``runs``.
+    """
+    cited = runs.withColumn("_cited", F.coalesce(_cited(), F.filter("evidence", lambda e: F.lit(False))))
+    prepared = cited.select(
+        "run_id", "location", "scene_ids", "dates", *keep, F.filter("_cited", lambda e: e["says"]["citable"] & e["value"].isNotNull()).alias("values"),
+        quotable(F.col("_cited")).alias("_quotes"), _clauses(F.col("summary")).alias("_clauses"))
+    each = prepared.select("*", F.explode_outer("_clauses").alias("_c")).drop("_clauses")
+    clause, sentence = F.col("clause"), F.col("sentence")
+    # NULL where a run has no evidence: nothing may be repeated
+    known = F.coalesce("_quotes.quoted", F.array().cast(_NO_TEXT))
+    yes = F.regexp_extract(sentence, r"(?i)^\s*yes,\s+(.+)$", 1)
+    ok = let(T.words(sentence), lambda w: (w == "") | F.array_contains(known, w) | w.isin(*T.ABSTENTIONS)) | (
+        (yes != "") & F.array_contains(known, T.words(yes)))
+    return (
+        each.select("run_id", *keep, "location", "dates", "values", "_quotes", "_c.*",
+                    F.filter("scene_ids", lambda i: F.col("_c.clause").contains(i)).alias("_ids"))
         .withColumn("_n", T.numeric_text(clause, F.col("_ids"), F.col("dates")))
         .withColumn("invented", F.col("_n.invented"))
         .withColumn("numbers", T.extract_numbers(F.col("_n.text")))
+        .withColumn("exempt", F.coalesce(F.array_contains("_quotes.caveats", T.verbatim(sentence)), F.lit(False)))
+        .withColumn("quoted_ok", F.coalesce(ok, F.lit(False)))
+        .drop("_quotes", "dates")
     )
-    no_numbers = F.regexp_replace(F.col("_n.text"), T.NUMBER, " ")
+
+
+def _plain_words(text: Column) -> Column:
+    """Whether a clause says nothing beside its number and place but the words of a measurement."""
+    no_numbers = F.regexp_replace(text, T.NUMBER, " ")
     no_place = F.regexp_replace(
-        no_numbers, F.concat(F.lit(r"(?i)\Q"), F.coalesce("location", F.lit("")), F.lit(r"\E")),
-        F.lit(" "))
+        no_numbers, F.concat(F.lit(r"(?i)\Q"), F.coalesce("location", F.lit("")), F.lit(r"\E")), F.lit(" "))
     vocabulary = F.array(*[F.lit(w) for w in (*T.MEASUREMENT_WORDS, "")])
+    return F.size(F.array_except(F.split(T.words(no_place), " "), vocabulary)) == 0
+
+
+def _scope() -> Column:
+    """What a clause says about platform, place and time."""
+    clause = F.col("clause")
     whole_scene = F.filter("_ids", lambda i: F.regexp_like(
         clause, F.concat(F.lit(r"(?<!\w)\Q"), i, F.lit(r"\E(?!\w)"))))
     years = F.concat(F.regexp_extract_all(clause, F.lit(T.YEAR_AFTER_WORD), 1),
@@ -100,36 +158,28 @@ def read_clauses(answers: DataFrame, runs: DataFrame) -> DataFrame:
         lambda m, y: F.concat(y, F.lit("-"), F.try_element_at(month_number, F.lower(m))))
     roles = F.filter(F.array(*[F.lit(r) for r in ROLES]), lambda r: F.regexp_like(
         clause, F.concat(F.lit(r"(?i)\b"), r, F.lit(r"\b"))))
-    return (
-        read.withColumn("plain_words", F.size(F.array_except(
-            F.split(T.words(no_place), " "), vocabulary)) == 0)
-        .withColumn("metrics", F.array_join(T.claimed_metrics(clause, F.col("sentence")), ","))
-        .withColumn("own_kind", T.stat_kind(clause))
-        .withColumn("scope", F.struct(
-            F.lower(clause).rlike(r"\bsentinel-1[a-z]?(?:-[a-z]+)*\b").alias("radar"),
-            F.lower(clause).rlike(r"\bsentinel-2[a-z]?(?:-[a-z]+)*\b").alias("optical"),
-            whole_scene.alias("scenes"),
-            F.regexp_extract_all(clause, F.lit(f"({T.ISO_DATE})"), 1).alias("dates"),
-            years.alias("years"), months.alias("months"), roles.alias("roles")))
-        .drop("_n", "_ids", "scene_ids", "dates", "location")
-    )
+    some_role = clause.rlike(r"(?i)\b(?:" + "|".join(ROLES) + r")\b")
+    return F.struct(
+        F.lower(clause).rlike(r"\bsentinel-1[a-z]?(?:-[a-z]+)*\b").alias("radar"),
+        F.lower(clause).rlike(r"\bsentinel-2[a-z]?(?:-[a-z]+)*\b").alias("optical"),
+        whole_scene.alias("scenes"),
+        F.regexp_extract_all(clause, F.lit(f"({T.ISO_DATE})"), 1).alias("dates"),
+        years.alias("years"), months.alias("months"), F.when(some_role, roles).otherwise(F.array().cast(_NO_TEXT)).alias("roles"))
 
 
 def read_claims(clauses: DataFrame) -> DataFrame:
-    """One row per number of a clause (one row without a literal when it has none)."""
-    exploded = clauses.withColumn("n_numbers", F.size("numbers")).select(
-        "*", F.posexplode_outer("numbers").alias("n_pos", "literal"))
-    unit = T.stated_unit(F.col("clause"), F.col("literal"))
-    after = F.substring("clause", F.instr(F.col("clause"), F.col("literal"))
-                        + F.length("literal"), F.length("clause"))
-    kind = F.coalesce("own_kind", F.when(after.rlike(r"(?i)\bvalid\s+pixels?\b"), "pixels"))
-    return (
-        exploded.withColumn("_unit", unit)
-        .withColumn("kind", kind).withColumn("unit", F.col("_unit.unit"))
-        .withColumn("bindable", (F.col("n_numbers") == 1) & F.col("plain_words")
-                    & ~F.col("_unit.rejected"))
-        .drop("_unit", "numbers", "own_kind", "plain_words")
-    )
+    """One row per number of a clause (one row without a literal when it has none), with what it claims.
+
+    ``claim`` is NULL where a clause cannot bind: it states several numbers, or says more than a measurement.
+    """
+    clause, literal = F.col("clause"), F.col("literal")
+    after = F.substring("clause", F.instr(clause, literal) + F.length("literal"), F.length("clause"))
+    kind = F.coalesce(T.stat_kind(clause), F.when(after.rlike(r"(?i)\bvalid\s+pixels?\b"), "pixels"))
+    claim = let(T.stated_unit(clause, literal), lambda unit: F.when(~unit["rejected"], F.struct(
+        unit["unit"].alias("unit"), kind.alias("kind"),
+        F.array_join(T.claimed_metrics(clause, F.col("sentence")), ",").alias("metrics"), _scope().alias("scope"))))
+    return clauses.withColumn("_single", F.size("numbers") == 1).select("*", F.posexplode_outer("numbers").alias("n_pos", "literal")).withColumn(
+        "claim", F.when(F.col("_single") & _plain_words(F.col("_n.text")), claim)).drop("_n", "_ids", "numbers", "_single", "location")
 
 
 def _scope_fits(claim: Column, item: Column) -> Column:
@@ -164,101 +214,47 @@ def _scope_fits(claim: Column, item: Column) -> Column:
     )
 
 
-CLAIM_KEY = ["run_id", "s_pos", "c_pos", "n_pos"]
-
-
-def ground_claims(claims: DataFrame, values: DataFrame) -> DataFrame:
+def ground_claims(claims: DataFrame) -> DataFrame:
     """Claims with ``candidates`` and ``supported``: identity first, then the value.
 
-    An equi-join on (run, statistic) with metric, unit and scope as its condition; a claim
-    is supported when exactly one row fits and the literal is that value at its precision.
+    A claim meets the cited values of its run by statistic, metric, unit and scope; it is supported when exactly one
+    fits and the literal is that value at its precision.
     """
-    v = values.select(
-        F.col("run_id").alias("_run"), F.col("kind").alias("_kind"), F.struct(
-            "id", "source", "metrics", "unit", "value", "observations").alias("item"))
-    item = F.col("item")
-    fits = (
-        (F.col("run_id") == F.col("_run")) & (F.col("kind") == F.col("_kind"))
-        & F.col("bindable")
-        & ((F.col("metrics") == item["metrics"])
-           | ((F.col("metrics") == "") & (item["source"] != "sar_backscatter")))
-        & (F.col("unit").isNull() | (F.col("unit") == item["unit"]))
-        & _scope_fits(F.col("scope"), item)
-    )
-    carried = [c for c in claims.columns if c not in (*CLAIM_KEY, "scope")]
-    return (
-        claims.join(v, fits, "left").groupBy(*CLAIM_KEY)
-        .agg(*[F.any_value(c).alias(c) for c in carried],
-             F.count("_run").alias("candidates"),
-             F.bool_and(T.value_agrees(F.col("literal"), item["value"])).alias("_agrees"))
-        .withColumn("supported", F.when(F.col("literal").isNotNull(), (
-            F.col("candidates") == 1) & F.coalesce("_agrees", F.lit(False))))
-        .drop("_agrees")
-    )
-
-
-def quotable(cited: DataFrame) -> DataFrame:
-    """Per run: normalised sentences a citation lets an answer repeat, and exact caveats."""
-    rows = cited.where(F.col("source").isin(*AUTHORITIES, "model"))
-    sentence = F.filter(T.split_sentences(F.coalesce("text", F.lit(""))),
-                        lambda s: F.trim(s) != "")
-    facts = F.flatten(F.transform("observations", lambda o: F.array_compact(F.array(
-        F.concat(F.lit("Scene "), o["scene_id"], F.lit(" was selected.")),
-        F.when(o["acquired"] != "", F.concat(
-            F.lit("The scene was acquired on "), o["acquired"], F.lit(".")))))))
-    is_caveat = (F.col("source") != "model") & F.col("id").rlike(CAVEAT_ID)
-    empty = F.array().cast("array<string>")
-    return rows.groupBy("run_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.transform(
-            F.concat(sentence, F.coalesce(facts, empty)), T.words)))).alias("quoted"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(
-            is_caveat, F.transform(sentence, T.verbatim))))).alias("caveats"),
-    )
-
-
-def mark_sentences(clauses: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Add ``exempt`` (repeats a cited caveat exactly) and ``quoted_ok`` (needs no numbers)."""
-    sentence = F.col("sentence")
-    yes = F.regexp_extract(sentence, r"(?i)^\s*yes,\s+(.+)$", 1)
-    joined = clauses.join(quotes, "run_id", "left")
-    known = F.coalesce("quoted", F.array().cast("array<string>"))
-    ok = let(T.words(sentence), lambda w: (w == "") | F.array_contains(known, w)
-             | w.isin(*T.ABSTENTIONS)) | ((yes != "") & F.array_contains(known, T.words(yes)))
+    claim = F.col("claim")
+    found = F.when(claim.isNotNull(), F.filter("values", lambda item: (
+        (claim["kind"] == item["says"]["kind"])
+        & ((claim["metrics"] == item["says"]["metrics"]) | ((claim["metrics"] == "") & (item["source"] != "sar_backscatter")))
+        & (claim["unit"].isNull() | (claim["unit"] == item["unit"]))
+        & _scope_fits(claim["scope"], item))))
+    only = (F.col("candidates") == 1) & T.value_agrees(F.col("literal"), F.get("_found", F.lit(0))["value"])
     return (
-        joined.withColumn("exempt", F.coalesce(
-            F.array_contains("caveats", T.verbatim(sentence)), F.lit(False)))
-        .withColumn("quoted_ok", F.coalesce(ok, F.lit(False))).drop("quoted", "caveats")
+        claims.withColumn("_found", found).withColumn("candidates", F.greatest(F.coalesce(F.size("_found"), F.lit(0)), F.lit(0)))
+        .withColumn("supported", F.when(F.col("literal").isNotNull(), F.coalesce(only, F.lit(False))))
+        .drop("_found", "values", "claim")
     )
 
 
 def ungrounded(grounded: DataFrame) -> DataFrame:
     """Numbers no evidence supports and invented identifiers, outside exempt sentences."""
-    open_rows = grounded.where(~F.col("exempt"))
-    numbers = open_rows.where(~F.col("supported")).select(
-        "run_id", "s_pos", "c_pos", F.col("literal").alias("claim"))
-    ids = open_rows.where(F.coalesce("n_pos", F.lit(0)) == 0).select(
-        "run_id", "s_pos", "c_pos", F.explode("invented").alias("claim"))
-    return numbers.unionByName(ids)
+    number = F.when(~F.col("supported"), F.array("literal")).otherwise(F.array().cast(_NO_TEXT))
+    ids = F.when(F.coalesce("n_pos", F.lit(0)) == 0, F.coalesce("invented", F.array().cast(_NO_TEXT))).otherwise(F.array().cast(_NO_TEXT))
+    return grounded.where(~F.col("exempt")).select("run_id", "s_pos", "c_pos", F.explode(F.concat(number, ids)).alias("claim"))
 
 
-def validate_answers(answers: DataFrame, evidence: DataFrame, runs: DataFrame) -> DataFrame:
+def validate_answers(runs: DataFrame) -> DataFrame:
     """Three independent outcomes per answer, the provenance of visual claims, the verdict."""
-    cited = cited_evidence(answers, evidence)
-    clauses = mark_sentences(read_clauses(answers, runs), quotable(cited))
-    grounded = ground_claims(read_claims(clauses), citable_values(cited))
+    known = F.coalesce(F.transform("evidence", lambda e: e["id"]), F.array().cast(_NO_TEXT))
+    flagged = runs.withColumns({
+        "_dangling": F.coalesce(F.size(F.array_except("refs", known)) > 0, F.lit(False)),
+        "_visual": F.coalesce(F.exists(_cited(), lambda e: e["source"] == "model"), F.lit(False)),
+        "_forbidden": F.size(T.forbidden_phrases(F.col("summary"))) > 0})
+    grounded = ground_claims(read_claims(read_clauses(flagged, "_dangling", "_visual", "_forbidden")))
     bad = ~F.col("exempt") & (
-        ~F.coalesce("supported", F.lit(True)) | (F.size("invented") > 0))
+        ~F.coalesce("supported", F.lit(True)) | (F.coalesce(F.size("invented"), F.lit(0)) > 0))
     prose_ok = F.col("quoted_ok") | F.coalesce("supported", F.lit(False))
-    per_run = grounded.groupBy("run_id").agg(
-        F.bool_or(bad).alias("_ungrounded"), F.bool_and(prose_ok).alias("_prose"))
-    dangling = unresolved_refs(answers, evidence).select(
-        "run_id", F.lit(True).alias("_dangling")).distinct()
-    visual = cited.where(F.col("source") == "model").select(
-        "run_id", F.lit(True).alias("_visual")).distinct()
-    out = (
-        answers.select("run_id", "summary").join(per_run, "run_id", "left")
-        .join(dangling, "run_id", "left").join(visual, "run_id", "left")
-    )
+    out = grounded.groupBy("run_id").agg(
+        F.bool_or(bad).alias("_ungrounded"), F.bool_and(prose_ok).alias("_prose"),
+        *[F.bool_or(c).alias(c) for c in ("_dangling", "_visual", "_forbidden")])
 
     def outcome(failed: Column) -> Column:
         return F.when(failed, "fail").otherwise("pass")
@@ -266,9 +262,8 @@ def validate_answers(answers: DataFrame, evidence: DataFrame, runs: DataFrame) -
     return out.select(
         "run_id",
         outcome(F.coalesce("_ungrounded", F.lit(False))).alias("numeric_grounding"),
-        outcome(F.size(T.forbidden_phrases(F.col("summary"))) > 0).alias("forbidden_terms"),
-        outcome(F.col("_dangling").isNotNull() | ~F.coalesce("_prose", F.lit(False)))
-        .alias("evidence_refs"),
+        outcome(F.col("_forbidden")).alias("forbidden_terms"),
+        outcome(F.col("_dangling") | ~F.coalesce("_prose", F.lit(False))).alias("evidence_refs"),
         F.when(F.col("_visual"), "attributed").otherwise("not_run").alias("visual_claims"),
     ).withColumn("accepted", (F.col("numeric_grounding") == "pass")
                  & (F.col("forbidden_terms") == "pass") & (F.col("evidence_refs") == "pass"))
