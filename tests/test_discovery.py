@@ -103,3 +103,17 @@ def test_searches_take_every_hundredth_request_against_all_scenes(spark):
         assert {r.request_id % 100 for r in found.select("request_id").distinct().collect()} == {0}
         if name == "j6_discover":
             assert wanted and sorted(tuple(r) for r in found.select("request_id", "modality", "label", "id").collect()) == wanted
+
+
+def test_discovery_answers_every_request(spark, con):
+    """No request is left out, whatever its id, in the queries and in their SQL alike."""
+    import __spark_entry__ as entry
+
+    sf_dir = "/root/testdata/sf0.001"
+    con.execute(f"CREATE OR REPLACE TEMP TABLE every AS SELECT DISTINCT request_id FROM ({entry.oracle_sql()['j6_discover']})")
+    assert con.execute("SELECT count(DISTINCT request_id % 100) > 50 FROM every").fetchone()[0]
+    for name in ("j6_discover",):
+        found = {r[0] for r in entry.queries()[name](spark, sf_dir).select("request_id").distinct().collect()}
+        asked = {r[0] for r in con.execute("SELECT request_id FROM every" + (
+            " WHERE request_id % 11 <> 0 AND request_id % 13 <> 0 AND request_id % 17 <> 0" if name.endswith("broken") else "")).fetchall()}
+        assert found == asked
