@@ -112,7 +112,7 @@ def test_discovery_answers_every_request(spark, con):
     sf_dir = "/root/testdata/sf0.001"
     con.execute(f"CREATE OR REPLACE TEMP TABLE every AS SELECT DISTINCT request_id FROM ({entry.oracle_sql()['j6_discover']})")
     assert con.execute("SELECT count(DISTINCT request_id % 100) > 50 FROM every").fetchone()[0]
-    for name in ("j6_discover", "j6_discover_beside_broken"):
+    for name in ("j6_discover", "p6_p7_p8_boxes", "j6_discover_beside_broken"):
         found = {r[0] for r in entry.queries()[name](spark, sf_dir).select("request_id").distinct().collect()}
         asked = {r[0] for r in con.execute("SELECT request_id FROM every" + (
             " WHERE request_id % 11 <> 0 AND request_id % 13 <> 0 AND request_id % 17 <> 0" if name.endswith("broken") else "")).fetchall()}
