@@ -43,3 +43,34 @@ def test_nothing_to_score_or_learn(spark):
     for fold in (None, 0):
         roles = texts.select("id", "label", F.lit(fold).cast("int").alias("fold"))
         assert M.part_predictions(texts, roles, LABELS, GRID, 0).count() == 0
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_more_texts_than_a_task_fits_train_all_the_same(spark, monkeypatch, parts):
+    """The models of all tasks together are those of one task, whatever the bound of the latter."""
+    from earthframe.operators import shared_fit as K
+
+    texts = spark.createDataFrame(_texts(), "id long, label string, text string, family long")
+    fold = F.when(F.col("id") % 4 < 3, (F.col("id") % 4 if parts else F.lit(0)).cast("int"))
+    roles = texts.select("id", "label", fold.alias("fold"))
+    want = {(r.part, r.id, r.c): r for r in M.part_predictions(texts, roles, LABELS, GRID, parts).collect()}
+    for name, value in {"SPREAD": 300, "SHARD": 300, "ROWS": 7, "CELLS": 64, "ROOM": 1 << 12}.items():
+        monkeypatch.setattr(K, name, value)
+    monkeypatch.setattr(M, "FIT_TEXTS", 5)
+    mine = M.part_predictions(texts, roles, LABELS, GRID, parts).collect()
+    assert len(mine) == len(want) > 0
+    for r in mine:
+        assert np.allclose(r.probabilities, want[r.part, r.id, r.c].probabilities, atol=1e-5)
+        assert r.predicted == want[r.part, r.id, r.c].predicted
+
+
+def test_models_learn_from_every_training_text(spark, monkeypatch):
+    """A word that one text in a hundred has decides its label, though a bounded fit would leave most such texts out."""
+    monkeypatch.setattr(M, "FIT_TEXTS", 16)
+    rows = [(i, "water" if i % 2 else "other", f"plain{i % 7} common words") for i in range(200)]
+    rows += [(1000 + i, "water" if i % 2 else "other", f"rare{i} " * 3 + "word") for i in range(40)]
+    rows += [(2000 + i, "water" if i % 2 else "other", f"rare{i} " * 3) for i in range(40)]
+    texts = spark.createDataFrame(rows, "id long, label string, text string")
+    roles = texts.select("id", "label", F.when(F.col("id") < 2000, 0).alias("fold"))
+    found = M.part_predictions(texts, roles, ("other", "water"), (100.0,)).collect()
+    assert len(found) == 40 and all(r.predicted == ("water" if r.id % 2 else "other") for r in found)
