@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,26 @@ def test_no_row_for_each_gram_of_a_text_is_shuffled(spark):
     assert {r.df for r in counted.collect()} == {400}
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_a_piece_is_read_in_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(grams, "PART", 60)
+    chunks = [["ab" * (i % 9)] * (i % 5) for i in range(50)] + [["x" * 500], None, [], ["y"]]
+    table = pa.table({"id": range(len(chunks)), "chunks": pa.array(chunks, pa.list_(pa.string()))})
+    parts = list(grams.parts_of(table))
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(len(chunks)))
+    size = lambda p: sum(len(c) + 1 for row in p.column("chunks").to_pylist() for c in row or [])
+    assert len(parts) > 5 and all(p.num_rows == 1 or size(p) <= 60 for p in parts)
+    assert not list(grams.parts_of(table.slice(0, 0)))
+
+
+def test_parts_of_a_piece_weigh_as_one(spark, monkeypatch):
+    """A text of more than PART bytes' company: frequencies are those of the whole piece and of all pieces."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(words, k=1200))) for i in range(400)], "id long, text string")
+    found = []
+    for piece in (1 << 23, 1 << 17):
+        monkeypatch.setattr(grams, "PIECE", piece)
+        found.append({(r.id, r.block, r.initial): (r.grams, round(r.total, 9), round(r.most, 9), r.first_gram) for r in M.weight_summary(texts, 400).collect()})
+    assert found[0] == found[1] and len(found[0]) > 400
